@@ -78,18 +78,20 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     yield pa.RecordBatch.from_pylist([{"part": part, **{k: f"part-{part:05d}.{k}" for k in files}, "first_id": first, "n_docs": n, "n_tokens": at}], schema=pa.schema([("part", pa.int32()), ("tokens", pa.string()), ("offsets", pa.string()), ("docs", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
 
-def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int | None = None) -> dict:
+def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int, ordered: bool = True, partitions: int | None = None) -> dict:
     """Encode `documents` (doc_id, text), each with `end_id` after it, into files in `folder`; returns the manifest.
 
-    `folder` is a URI that executors share. The driver gets one row for each part, whatever the parts hold.
+    `folder` is a URI that executors share. Without `ordered`, parts are as the input is read, and no text is
+    shuffled. The driver gets one row for each part, whatever the parts hold.
     """
     spark = documents.sparkSession
     importable(spark)
     wanted = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = (wanted.repartitionByRange(partitions, "doc_id") if partitions else wanted.repartitionByRange("doc_id")).sortWithinPartitions("doc_id", "text")
+    if ordered:
+        wanted = (wanted.repartitionByRange(partitions, "doc_id") if partitions else wanted.repartitionByRange("doc_id")).sortWithinPartitions("doc_id", "text")
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    rows = ranged.mapInArrow(lambda batches: _write(batches, folder, tokenizer, end_id), PART).collect()
+    rows = wanted.mapInArrow(lambda batches: _write(batches, folder, tokenizer, end_id), PART).collect()
     parts, base = [], 0
     for row in sorted(rows, key=lambda r: r.part):
         parts.append(row.asDict() | {"base": base})
