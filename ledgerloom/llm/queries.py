@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import hilbert_ann, packing, piece_bpe, segment_topk, token_files, url_rules
+from ledgerloom.llm import hilbert_ann, near_dups, packing, piece_bpe, segment_topk, token_files, url_rules
 from ledgerloom.llm.common import fresh_folder, table
 
 PIECE_BPE, WORD_BPE = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op1_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
@@ -41,8 +45,22 @@ def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_bpe, op3_url_rules, op4_token_files, op5_hilbert_ann, op9_packing, op10_segment_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_bpe, op2_near_dups, op3_url_rules, op4_token_files, op5_hilbert_ann, op9_packing, op10_segment_topk)}
 SQL: dict[str, str] = {
+    "op2_near_dups": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM split),
+        shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS a_n, b.n AS b_n, count(*) AS both FROM shingles a JOIN shingles b ON a.shingle = b.shingle
+                   WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common WHERE 100 * both >= 85 * (a_n + b_n - both)),
+        ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, w.y FROM reach r JOIN ways w ON r.y = w.x)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
+        FROM sets s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON s.doc_id = m.x
+    """,
     "op10_segment_topk": """
         WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
