@@ -53,9 +53,9 @@ SQL: dict[str, str] = {
         sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
                         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM split),
         shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
-        common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS a_n, b.n AS b_n, count(*) AS both FROM shingles a JOIN shingles b ON a.shingle = b.shingle
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS a_n, b.n AS b_n, count(*) AS shared FROM shingles a JOIN shingles b ON a.shingle = b.shingle
                    WHERE a.doc_id < b.doc_id GROUP BY ALL),
-        links AS (SELECT a, b FROM common WHERE 100 * both >= 85 * (a_n + b_n - both)),
+        links AS (SELECT a, b FROM common WHERE 100 * shared >= 85 * (a_n + b_n - shared)),
         ways AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
         reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, w.y FROM reach r JOIN ways w ON r.y = w.x)
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
