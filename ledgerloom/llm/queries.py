@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import hilbert_ann, near_dups, packing, piece_bpe, pitman_yor, segment_topk, token_files, url_rules
+from ledgerloom.llm import hilbert_ann, near_dups, packing, piece_bpe, pitman_yor, quality, segment_topk, suffix_dedup, token_files, url_rules
 from ledgerloom.llm.common import fresh_folder, table
 
 PIECE_BPE, WORD_BPE = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -41,6 +41,14 @@ def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2)
 
@@ -49,7 +57,7 @@ def op10_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_bpe, op2_near_dups, op3_url_rules, op4_token_files, op5_hilbert_ann, op6_pitman_yor, op9_packing, op10_segment_topk)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_bpe, op2_near_dups, op3_url_rules, op4_token_files, op5_hilbert_ann, op6_pitman_yor, op7_quality, op8_suffix_dedup, op9_packing, op10_segment_topk)}
 SQL: dict[str, str] = {
     "op2_near_dups": r"""
         WITH RECURSIVE split AS (
