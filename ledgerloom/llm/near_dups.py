@@ -7,10 +7,11 @@
    classes hold them; two classes with so many in common meet within their rarest COORDINATES - threshold + 1 (prefix
    filter), so the others aren't posted, nor are values that only one class has (skipped in merging).
 3. In each posting list a pivot stands for the rest: of its classes the one whose values are the most common. Every other
-   class of the list is compared with the pivot alone, on full sets. Classes far from the pivot (fewer than NEAR
-   matches) go on to a next pivot of the list; after ROUNDS, and in lists of at most FEW, the pairs that remain are taken
-   themselves, if their signatures match.
-4. Two classes a, b of a pivot p that are not both linked to it may be linked to each other. With e(x) the symmetric
+   class of the list with NEAR matches or more is compared with the pivot alone, on full sets. Those whose matches with
+   it don't reach the threshold go on to a next pivot of the list; after ROUNDS, and in lists of at most FEW, the pairs
+   that remain are taken themselves, if their signatures match.
+4. Two classes a, b of a pivot p that are not both linked to it, and of which one reaches the threshold with it, may be
+   linked to each other. With e(x) the symmetric
    difference of x and p, |a - b| + |b - a| = |e(a)| + |e(b)| - 2 |e(a) and e(b)|, so they must share many of their
    differences from p, and these are rare even in a large group of near copies. So classes are joined on a prefix of
    their differences, as long as the bounds ask for, and confirmed on all of them. No group's pairs are all listed.
@@ -37,7 +38,7 @@ from ledgerloom.llm.shingles import permutations, shingle_set, signature
 
 COORDINATES = 40
 FEW, ROUNDS = 6, 3
-#: Matches with the pivot from which a class is compared with it.
+#: Matches with the pivot from which a class is compared with it: what a link to one at the threshold leaves at least.
 NEAR = 10
 
 
@@ -77,15 +78,15 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=pa.schema([("node", pa.int64()), ("shingles", pa.binary())]))
 
 
-COMPARED = "pivot long, node long, pivot_n long, n long, linked boolean, differences array<long>"
-_COMPARED = pa.schema([("pivot", pa.int64()), ("node", pa.int64()), ("pivot_n", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("differences", pa.list_(pa.int64()))])
+COMPARED = "pivot long, node long, pivot_n long, n long, core boolean, linked boolean, differences array<long>"
+_COMPARED = pa.schema([("pivot", pa.int64()), ("node", pa.int64()), ("pivot_n", pa.int64()), ("n", pa.int64()), ("core", pa.bool_()), ("linked", pa.bool_()), ("differences", pa.list_(pa.int64()))])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Differences of classes from their pivots: first what only the class has, then what only the pivot has, each by hash."""
     for batch in batches:
         rows = []
-        for pivot, node, ours, theirs, grouped in zip(*(batch.column(c).to_pylist() for c in ("pivot", "node", "pivot_set", "node_set", "grouped"))):
+        for pivot, node, ours, theirs, grouped, core in zip(*(batch.column(c).to_pylist() for c in ("pivot", "node", "pivot_set", "node_set", "grouped", "core"))):
             p, x = np.frombuffer(ours, np.uint64), np.frombuffer(theirs, np.uint64)
             more = x[~np.isin(x, p, assume_unique=True)]
             less_n = len(p) - (len(x) - len(more))
@@ -93,7 +94,7 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             differences = None
             if grouped:
                 differences = np.concatenate([more, p[~np.isin(p, x, assume_unique=True)]]).view(np.int64)
-            rows.append({"pivot": pivot, "node": node, "pivot_n": len(p), "n": len(x), "linked": near, "differences": differences})
+            rows.append({"pivot": pivot, "node": node, "pivot_n": len(p), "n": len(x), "core": core, "linked": near, "differences": differences})
         yield pa.RecordBatch.from_pylist(rows, schema=_COMPARED)
 
 
@@ -104,7 +105,7 @@ def _matches(a: str, b: str) -> Column:
 
 def _postings(classes: DataFrame, prefix: int) -> DataFrame:
     """(token, node, common): each class under its rarest values that another class has too."""
-    token = F.expr("transform(sequence(0, %d), i -> shiftleft(cast(i as bigint), 32) + sig[i])" % (COORDINATES - 1))
+    token = F.expr("transform(sequence(0, %d), i -> shiftleft(cast(i as bigint), 32) + 2147483648 + sig[i])" % (COORDINATES - 1))
     tokens = classes.select("node", F.explode(token).alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     ranked = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("all"))
@@ -113,56 +114,69 @@ def _postings(classes: DataFrame, prefix: int) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, least: int) -> DataFrame:
-    """(pivot, node, grouped) to compare on full sets; grouped: the pair is one of a list with a pivot."""
-    sig = classes.select("node", "sig")
+    """(pivot, node, grouped, core) to compare on full sets; grouped: the pair is one of a list with a pivot; core: its
+    signatures match, so the node needs no other pivot of that list."""
     left = written(_postings(classes, COORDINATES - least + 1), "postings")
+    sig = written(classes.join(left.select("node").distinct(), "node", "left_semi").select("node", "sig"), "signatures")
     pairs = None
     for at in range(ROUNDS + 1):
         lists = left.groupBy("token").agg(F.max(F.struct("common", (-F.col("node")).alias("less"))).alias("top"), F.count("*").alias("held"))
         small = lists.where((F.col("held") > 1) & ((F.col("held") <= FEW) | F.lit(at == ROUNDS))).select("token")
-        a = left.join(small, "token").join(sig, "node")
-        b = a.select("token", F.col("node").alias("other"), F.col("sig").alias("other_sig"))
-        direct = a.join(b, (a["token"] == b["token"]) & (F.col("node") < F.col("other")) & (_matches("sig", "other_sig") >= least))
-        direct = direct.select(F.col("node").alias("pivot"), F.col("other").alias("node"), F.lit(False).alias("grouped"))
+        a = left.join(small, "token").select("token", "node")
+        b = a.select(F.col("token").alias("other_token"), F.col("node").alias("other"))
+        met = a.join(b, (F.col("token") == F.col("other_token")) & (F.col("node") < F.col("other"))).select("node", "other").distinct()
+        met = met.join(sig, "node").join(sig.select(F.col("node").alias("other"), F.col("sig").alias("other_sig")), "other").where(_matches("sig", "other_sig") >= least)
+        direct = met.select(F.col("node").alias("pivot"), F.col("other").alias("node"), F.lit(False).alias("grouped"), F.lit(True).alias("core"))
         pairs = direct if pairs is None else pairs.union(direct)
         if at == ROUNDS:
             break
         large = lists.where(F.col("held") > FEW).select("token", (-F.col("top.less")).alias("pivot"))
         stars = left.join(large, "token").where("node <> pivot")
         met = stars.select("pivot", "node").distinct().join(sig, "node").join(sig.select(F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        met = written(met.select("pivot", "node", (_matches("sig", "pivot_sig") >= NEAR).alias("near")), "stars")
-        pairs = pairs.union(met.where("near").select("pivot", "node", F.lit(True).alias("grouped")))
-        rest = stars.join(met.where("not near").select("pivot", "node"), ["pivot", "node"])
+        met = written(met.select("pivot", "node", _matches("sig", "pivot_sig").alias("matches")), "stars")
+        pairs = pairs.union(met.where(F.col("matches") >= NEAR).select("pivot", "node", F.lit(True).alias("grouped"), (F.col("matches") >= least).alias("core")))
+        rest = stars.join(met.where(F.col("matches") < least).select("pivot", "node"), ["pivot", "node"])
         left = written(rest.select("node", "common", "token"), "postings")
         if left.isEmpty():
             break
-    return pairs.groupBy("pivot", "node").agg(F.max("grouped").alias("grouped"))
+    return pairs.groupBy("pivot", "node").agg(F.max("grouped").alias("grouped"), F.max("core").alias("core"))
 
 
 def _within(compared: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of one pivot that are not both linked to it, by their differences from it."""
     r = (100 - percent) / (100 + percent)
-    open_pivots = compared.where("not linked and differences is not null").select("pivot").distinct()
-    group = compared.where("differences is not null").join(open_pivots, "pivot", "left_semi")
-    # d: differences; most: how much a and any partner may differ; far: how much an unlinked partner differs from the pivot at least
+    # d: differences; most: how much a class and any partner may differ; far: how much an unlinked partner differs from the pivot at least
     most = r * F.col("n") * (1 + 100 / percent)
     far = r * (percent / 100 * F.col("n") + F.col("pivot_n"))
-    d = F.size("differences")
-    bound = lambda partner: F.greatest(F.lit(1), F.ceil((d + F.greatest(partner, d - most) - most) / 2 - 1e-6))
-    base = group.select("pivot", "node", "n", "linked", "differences", "pivot_n", (d - bound(F.lit(0.0)) + 1).alias("long"), (d - bound(far) + 1).alias("short")).where("long > 0")
-    posted = lambda rows, length: rows.select("pivot", "node", "n", "differences", F.explode(F.slice("differences", 1, F.greatest(F.lit(0), F.col(length)).cast("int"))).alias("token"))
-    other = ["pivot", "token", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("differences").alias("b_differences")]
-
-    def confirmed(x: DataFrame, y: DataFrame, once: Column) -> DataFrame:
-        shared = F.size(F.array_intersect("differences", "b_differences"))
-        differ = F.size("differences") + F.size("b_differences") - 2 * shared
-        y = y.select(*other).withColumnsRenamed({"pivot": "b_pivot", "token": "b_token"})
-        hit = (F.col("pivot") == F.col("b_pivot")) & (F.col("token") == F.col("b_token")) & once & ((100 - percent) * (F.col("n") + F.col("b_n")) >= (100 + percent) * F.abs(F.size("differences") - F.size("b_differences"))) & ((100 - percent) * (F.col("n") + F.col("b_n")) >= (100 + percent) * differ)
-        return x.join(y, hit).select(F.col("node").alias("a"), "b")
+    group = compared.where("differences is not null").withColumn("d", F.size("differences"))
+    widest = group.where("core").groupBy("pivot").agg(F.max("d").alias("widest"))
+    group = group.join(widest, "pivot").where(F.col("core") | (F.col("d") - most <= F.col("widest") + 1e-6))
+    group = written(group.join(group.where("not linked").select("pivot").distinct(), "pivot", "left_semi"), "groups")
+    # differences that a single class has are shared with none; the others are posted, the rarest first
+    each = group.select("pivot", "node", F.explode("differences").alias("token"))
+    shared = each.groupBy("pivot", "token").agg(F.count("*").alias("held")).where("held > 1")
+    ranked = each.join(shared, ["pivot", "token"]).groupBy("pivot", "node").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+    bound = lambda partner: F.greatest(F.lit(1), F.ceil((F.col("d") + F.greatest(partner, F.col("d") - most) - most) / 2 - 1e-6))
+    base = group.drop("differences").join(ranked, ["pivot", "node"]).withColumn("usable", F.size("shared"))
+    skipped = F.col("d") - F.col("usable")
+    base = base.withColumns({"long": F.col("d") - bound(F.lit(0.0)) + 1 - skipped, "short": F.col("d") - bound(far) + 1 - skipped})
+    base = written(base.where("long > 0").select("pivot", "node", "n", "d", "usable", "core", "linked", "long", "short", F.slice("shared.token", 1, F.greatest("long", "short").cast("int")).alias("first")), "posted")
+    posted = lambda rows, length: rows.select("pivot", "node", "n", "d", "usable", "core", F.explode(F.slice("first", 1, F.greatest(F.lit(0), F.col(length)).cast("int"))).alias("token"))
+    fits = lambda differ: (100 - percent) * (F.col("n") + F.col("b_n")) >= (100 + percent) * differ
+
+    def met(x: DataFrame, y: DataFrame, once: Column) -> DataFrame:
+        y = y.select(*(F.col(c).alias(f"b_{c}") for c in ("pivot", "token", "node", "n", "d", "usable", "core")))
+        hit = (F.col("pivot") == F.col("b_pivot")) & (F.col("token") == F.col("b_token")) & once & (F.col("core") | F.col("b_core"))
+        hit = hit & fits(F.abs(F.col("d") - F.col("b_d"))) & fits(F.col("d") + F.col("b_d") - 2 * F.least("usable", "b_usable"))
+        return x.join(y, hit).select("pivot", F.col("node").alias("a"), F.col("b_node").alias("b"))
 
     apart, close = base.where("not linked"), base.where("linked")
-    both = confirmed(posted(apart, "short"), posted(apart, "short"), F.col("node") < F.col("b"))
-    return both.union(confirmed(posted(apart, "long"), posted(close, "short"), F.lit(True)))
+    both = met(posted(apart, "short"), posted(apart, "short"), F.col("node") < F.col("b_node")).union(met(posted(apart, "long"), posted(close, "short"), F.lit(True))).distinct()
+    sets = group.select("pivot", "node", "n", "differences")
+    both = both.join(sets.select("pivot", F.col("node").alias("a"), "n", "differences"), ["pivot", "a"])
+    both = both.join(sets.select("pivot", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("differences").alias("b_differences")), ["pivot", "b"])
+    common = F.size(F.array_intersect("differences", "b_differences"))
+    return both.where(fits(F.size("differences") + F.size("b_differences") - 2 * common)).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -170,7 +184,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     importable(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = written(docs.mapInArrow(lambda b: _scan(b, words), "doc_id long, n long, h1 long, h2 long, sig binary"), "scanned")
-    sig = F.expr("transform(sequence(0, %d), i -> cast(conv(hex(substring(sig, 4 * i + 1, 4)), 16, 10) as bigint))" % (COORDINATES - 1))
+    sig = F.expr("transform(sequence(0, %d), i -> cast(cast(conv(hex(substring(sig, 4 * i + 1, 4)), 16, 10) as bigint) - 2147483648 as int))" % (COORDINATES - 1))
     with_id = scanned.where("doc_id is not null and n > 0")
     classes = with_id.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("sig", sig), "classes")
@@ -180,7 +194,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     texts = docs.join(involved, docs["doc_id"] == involved["first_doc"]).select("node", "h1", "h2", "text")
     sets = written(texts.mapInArrow(lambda b: _sets(b, words), "node long, shingles binary").dropDuplicates(["node"]), "sets")
     two = pairs.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_set")), "pivot").join(sets.select("node", F.col("shingles").alias("node_set")), "node")
-    compared = written(two.select("pivot", "node", "pivot_set", "node_set", "grouped").mapInArrow(lambda b: _compare(b, percent), COMPARED), "compared")
+    compared = written(two.select("pivot", "node", "pivot_set", "node_set", "grouped", "core").mapInArrow(lambda b: _compare(b, percent), COMPARED), "compared")
     links = compared.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(_within(compared, percent))
     # of a doc_id that comes with several sets, all classes belong together
     several = with_id.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("sets")).where("sets > 1").select("doc_id")
