@@ -142,6 +142,14 @@ def _candidates(classes: DataFrame, least: int) -> DataFrame:
     return pairs.groupBy("pivot", "node").agg(F.max("grouped").alias("grouped"), F.max("core").alias("core"))
 
 
+_BITS = tuple(f"bits{k}" for k in range(4))
+
+
+def _bits(tokens: str, part: int) -> Column:
+    """The tokens of one quarter as a set of 64 bits."""
+    return F.expr(f"aggregate({tokens}, 0L, (s, x) -> if(x & 3 = {part}, s | shiftleft(1L, cast((x >> 2) & 63 as int)), s))")
+
+
 def _within(compared: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of one pivot that are not both linked to it, by their differences from it."""
     r = (100 - percent) / (100 + percent)
@@ -158,16 +166,20 @@ def _within(compared: DataFrame, percent: int) -> DataFrame:
     ranked = each.join(shared, ["pivot", "token"]).groupBy("pivot", "node").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
     bound = lambda partner: F.greatest(F.lit(1), F.ceil((F.col("d") + F.greatest(partner, F.col("d") - most) - most) / 2 - 1e-6))
     base = group.drop("differences").join(ranked, ["pivot", "node"]).withColumn("usable", F.size("shared"))
+    # 256 bits of the shared differences: what the bits of two classes don't agree on, their differences don't either
+    base = base.withColumns({f"bits{k}": _bits("shared.token", k) for k in range(4)})
     skipped = F.col("d") - F.col("usable")
     base = base.withColumns({"long": F.col("d") - bound(F.lit(0.0)) + 1 - skipped, "short": F.col("d") - bound(far) + 1 - skipped})
-    base = written(base.where("long > 0").select("pivot", "node", "n", "d", "usable", "core", "linked", "long", "short", F.slice("shared.token", 1, F.greatest("long", "short").cast("int")).alias("first")), "posted")
-    posted = lambda rows, length: rows.select("pivot", "node", "n", "d", "usable", "core", F.explode(F.slice("first", 1, F.greatest(F.lit(0), F.col(length)).cast("int"))).alias("token"))
+    base = written(base.where("long > 0").select("pivot", "node", "n", "d", "usable", *_BITS, "core", "linked", "long", "short", F.slice("shared.token", 1, F.greatest("long", "short").cast("int")).alias("first")), "posted")
+    posted = lambda rows, length: rows.select("pivot", "node", "n", "d", "usable", *_BITS, "core", F.explode(F.slice("first", 1, F.greatest(F.lit(0), F.col(length)).cast("int"))).alias("token"))
     fits = lambda differ: (100 - percent) * (F.col("n") + F.col("b_n")) >= (100 + percent) * differ
 
     def met(x: DataFrame, y: DataFrame, once: Column) -> DataFrame:
-        y = y.select(*(F.col(c).alias(f"b_{c}") for c in ("pivot", "token", "node", "n", "d", "usable", "core")))
+        y = y.select(*(F.col(c).alias(f"b_{c}") for c in ("pivot", "token", "node", "n", "d", "usable", *_BITS, "core")))
         hit = (F.col("pivot") == F.col("b_pivot")) & (F.col("token") == F.col("b_token")) & once & (F.col("core") | F.col("b_core"))
         hit = hit & fits(F.abs(F.col("d") - F.col("b_d"))) & fits(F.col("d") + F.col("b_d") - 2 * F.least("usable", "b_usable"))
+        unlike = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in _BITS)
+        hit = hit & fits(F.col("d") + F.col("b_d") - F.col("usable") - F.col("b_usable") + unlike)
         return x.join(y, hit).select("pivot", F.col("node").alias("a"), F.col("b_node").alias("b"))
 
     apart, close = base.where("not linked"), base.where("linked")

@@ -33,7 +33,7 @@ from ledgerloom.llm.token_files import NULL_ID, TokenPart, crc_of, write_tokens
 
 CAPACITY, GRAIN = 4096, 8
 #: The simplex method ends at this relative distance from the proven bound, or after so many steps.
-GAP, STEPS = 2e-4, 20_000
+GAP, STEPS = 2e-4, 4_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("slot", pa.int64())])
