@@ -1,9 +1,8 @@
-"""Helpers that several operators share: tables, the shared folder, digests, components."""
+"""Helpers that several operators share: tables, folders, parts of texts."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -11,12 +10,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.storage import shared_folder
+
 REPOSITORY = str(Path(__file__).resolve().parents[2])
 
-#: What separates words: the space and the five ASCII controls from tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,22 +30,6 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([REPOSITORY, *filter(None, paths)])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The URI of the folder that all executors share (spark.checkpoint.dir).
-
-    Only a local master may go without the setting; it gets a temporary folder.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = Path(tempfile.mkdtemp(prefix="ledgerloom-")).as_uri()
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else Path(found).as_uri()
-
-
 def fresh_folder(spark: SparkSession, what: str) -> str:
     """A name, not in use yet, for a folder inside the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -61,14 +43,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table from `written` that nothing reads any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z alone."""
     return F.translate(text, UPPER, LOWER)
@@ -84,28 +58,3 @@ def slices(text: str, most: int = 1 << 20, at: str = " ") -> Iterator[str]:
         yield text[begin:end]
         begin = end
     yield text[begin:] if begin else text
-
-
-def components(edges: DataFrame, what: str = "components") -> DataFrame:
-    """Connected components: rows (node, component) for all nodes of `edges` (a, b); component is the smallest node.
-
-    Alternates the large-star and small-star steps (Kiveris et al., 2014), which need O(log^2 n) rounds at most
-    and never gather a component in one place. Each round is written to the shared folder.
-    """
-    spark = edges.sparkSession
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), what)
-    while True:
-        both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        new = written(small.where("u <> v").distinct(), what)
-        # a star forest: no node is both a centre and a leaf, and each leaf has one centre
-        busy = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u").union(new.select("u").join(new.select(F.col("v").alias("u")), "u", "left_semi"))
-        done = busy.isEmpty()
-        forget(spark, now)
-        now = new
-        if done:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

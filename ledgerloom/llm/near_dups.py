@@ -33,8 +33,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import components, importable, written
+from ledgerloom.llm.common import importable, written
 from ledgerloom.llm.shingles import permutations, shingle_set, signature
+from ledgerloom.operators.graph import components
 
 COORDINATES = 40
 FEW, ROUNDS = 6, 3
