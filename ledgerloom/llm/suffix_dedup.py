@@ -166,7 +166,8 @@ def repeats(documents: DataFrame) -> DataFrame:
     importable(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     anchors = written(docs.mapInArrow(_anchors, "doc_id long, place int, gram long"), "minimisers")
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1")
+    # a table of its own, so that both sides of the join are dealt out anew and a frequent run's rows can be split
+    twice = written(anchors.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1"), "frequent")
     shares = F.ceil(F.col("held") / STRETCH)
     dealt = anchors.join(twice, "gram").select("doc_id", F.struct("place", "gram", F.pmod(F.xxhash64("doc_id"), shares).cast("int").alias("share"), (shares > 1).alias("split")).alias("anchor"))
     wanted = dealt.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
