@@ -41,7 +41,11 @@ STRETCH = 2000
 
 
 def minimisers(hashes: np.ndarray, gram: int = GRAM, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(places, run hashes) of the runs that are the least, the rightmost of equals, in some window."""
+    """(places, run hashes) of the runs that are the least, the rightmost of equals, in some window.
+
+    Where a text goes round in circles, a window that still holds the run chosen before stays with it (robust winnowing,
+    Schleimer et al., 2003): such texts get no more minimisers than others, and all of them of equal runs.
+    """
     runs = windows(hashes, gram)
     span = least - gram + 1
     if len(runs) < span:
@@ -57,7 +61,15 @@ def minimisers(hashes: np.ndarray, gram: int = GRAM, least: int = LEAST) -> tupl
         low, at = np.where(take, other, low), np.where(take, other_at, at)
         width += step
     places = np.unique(at)
-    return places, runs[places]
+    found = runs[places]
+    if (found[1:] == found[:-1]).any():
+        last, kept = np.searchsorted(at, places, side="right") - 1, [0]
+        for k in range(1, len(places)):
+            before = kept[-1]
+            if found[k] != found[before] or last[k] > places[before]:
+                kept.append(k)
+        places, found = places[kept], found[kept]
+    return places, found
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
