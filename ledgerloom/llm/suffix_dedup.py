@@ -1,18 +1,19 @@
-"""Operator 8: repeated passages by a sparse suffix array.
-
-A text is a sequence of words (A-Z folded to lower case; only words count, not the space between). Of all runs of GRAM
-words, those with the least hash in some window of 50 - GRAM + 1 runs are kept as minimisers: two copies of a passage of
-50 words always keep the same ones. The suffixes that begin at minimisers form a sparse suffix array.
-
-1. A scan gives each document's minimisers; those whose run occurs once in the corpus go.
-2. For the rest, the words that follow and those before, as far as the next minimiser may be, are taken from the texts.
-3. Suffixes are dealt out by run and sorted by following words, document and place. Neighbours are compared, and matches
-   extended right and left: a stretch goes on while neighbours agree over at least 50 words. Suffixes that agree so with
-   the first document of their stretch are repeats of it; the others form further stretches.
+"""Operator 8: repeated passages by the suffixes that begin at minimisers, compared window by window.
+
+A text is a sequence of words (A-Z folded to lower case; only words count, not the space between). A window is LEAST
+words in a row; of its LEAST - GRAM + 1 runs of GRAM words the least by hash, the rightmost of equals, is its minimiser.
+It depends on the window's words alone, so equal windows have equal minimisers at the same place inside. A word is
+repeated if a window that holds it is that of an earlier (doc_id, place) too: exactly what comparing all pairs gives.
+
+1. A scan gives each document's minimisers; those whose run occurs once in the corpus go. Windows that occur again at
+   most LEAST words after themselves (texts that go round in circles) are repeats already: their stretches are noted
+   with their extent, and only the first window of each such chain goes on.
+2. For the rest, the hashes of the windows of each minimiser are taken from the texts.
+3. They are dealt out by run and taken in the order of document and place: a window seen before is a repeat.
 4. A run with more than STRETCH suffixes is dealt out to several shares by document. Each finds repeats by itself and
-   hands on the copies it keeps; these are resolved among themselves in the same way.
+   hands on the windows it met first; these are dealt out by window, where there is one from each share at most.
 
-Next minimisers' extents meet, so a long passage is covered by several that overlap; they are merged. The copy in the
+The windows' extents meet, so a long passage is covered by several that overlap; they are merged. The copy in the
 smallest doc_id (then the smallest place) stays: every word that goes has an earlier copy that does not.
 
 Null doc_ids take no part; rows with the same doc_id are one document, which doesn't repeat itself at the same place.
@@ -27,29 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import importable, written
 from ledgerloom.llm.shingles import mixed, windows, word_hashes, words_of
 
 LEAST, GRAM = 50, 20
-#: Words before and after a minimiser's run that are compared: as far as its windows go, where the next ones begin.
-REACH = LEAST - GRAM + 1
 #: Suffixes of one run that a share gets, about.
 STRETCH = 2000
 
 
-def minimisers(hashes: np.ndarray, gram: int = GRAM, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(places, run hashes) of the runs that are the least, the rightmost of equals, in some window.
-
-    Where a text goes round in circles, a window that still holds the run chosen before stays with it (robust winnowing,
-    Schleimer et al., 2003): such texts get no more minimisers than others, and all of them of equal runs.
-    """
-    runs = windows(hashes, gram)
-    span = least - gram + 1
+def _least(runs: np.ndarray, span: int) -> np.ndarray:
+    """For each window the place of its least run, the rightmost of equals; none in texts shorter than a window."""
     if len(runs) < span:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64)
     # the window's least by doubling; place breaks ties
     low, at = runs.copy(), np.arange(len(runs))
     width = 1
@@ -60,46 +53,84 @@ def minimisers(hashes: np.ndarray, gram: int = GRAM, least: int = LEAST) -> tupl
         take = other <= low
         low, at = np.where(take, other, low), np.where(take, other_at, at)
         width += step
-    places = np.unique(at)
-    found = runs[places]
-    if (found[1:] == found[:-1]).any():
-        last, kept = np.searchsorted(at, places, side="right") - 1, [0]
-        for k in range(1, len(places)):
-            before = kept[-1]
-            if found[k] != found[before] or last[k] > places[before]:
-                kept.append(k)
-        places, found = places[kept], found[kept]
-    return places, found
+    return at
+
+
+def minimisers(hashes: np.ndarray, gram: int = GRAM, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(places, run hashes) of the runs that are the least, the rightmost of equals, in some window."""
+    runs = windows(hashes, gram)
+    places = np.unique(_least(runs, least - gram + 1))
+    return places, runs[places]
+
+
+def _windows(runs: np.ndarray) -> np.ndarray:
+    """One hash for each window, from the hashes of runs that cover it."""
+    n, covered = len(runs) - (LEAST - GRAM), [*range(0, LEAST - GRAM, GRAM), LEAST - GRAM]
+    out = np.full(max(0, n), LEAST, np.uint64)
+    for k in covered if n > 0 else ():
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + runs[k : k + n])
+    return out
+
+
+def circular(found: np.ndarray) -> np.ndarray:
+    """Which windows, by their hashes, occur at most LEAST words before, too."""
+    order = np.argsort(found, kind="stable")
+    again = (found[order[1:]] == found[order[:-1]]) & (order[1:] - order[:-1] <= LEAST)
+    out = np.zeros(len(found), bool)
+    out[order[1:][again]] = True
+    return out
+
+
+_ANCHOR = pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), ("gram", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int32())])
+ANCHOR = "doc_id long, place int, gram long, low int, high int, n int"
+
+
+def anchors_of(text: str | None) -> tuple[np.ndarray, ...]:
+    """place, run hash, low, high, n: minimisers (n = 0), with how far before them their windows begin; and the
+    stretches of n words that are repeats in circular texts."""
+    runs = windows(word_hashes(words_of(text)).astype(np.uint64), GRAM)
+    at = _least(runs, LEAST - GRAM + 1)
+    places, first = np.unique(at, return_index=True)
+    last = np.append(first[1:], len(at)) - 1
+    grams, n = runs[places].view(np.int64), np.zeros(len(places), np.int64)
+    low, high = places - last, places - first
+    if len(np.unique(grams)) < len(grams) and (again := circular(_windows(runs))).any():
+        going = np.isin(places, at[~again])
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
+        begin, end = edges[::2], edges[1::2]
+        zero = np.zeros(len(begin), np.int64)
+        places, grams = np.concatenate([places[going], begin]), np.concatenate([grams[going], zero])
+        low, high = np.concatenate([low[going], zero]), np.concatenate([high[going], zero])
+        n = np.concatenate([n[going], end - 1 - begin + LEAST])
+    return places, grams, low, high, n
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, places, grams = [], [], []
+        docs, rows = [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            at, gram = minimisers(word_hashes(words_of(text.as_py())).astype(np.uint64))
-            docs.append(np.full(len(at), doc, np.int64))
-            places.append(at)
-            grams.append(gram)
+            rows.append(anchors_of(text.as_py()))
+            docs.append(np.full(len(rows[-1][0]), doc, np.int64))
         if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(grams).view(np.int64))], schema=pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), ("gram", pa.int64())]))
+            columns = [np.concatenate(docs), *(np.concatenate(c) for c in zip(*rows))]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, _ANCHOR.types)], schema=_ANCHOR)
 
 
-_SUFFIX = pa.schema([("gram", pa.int64()), ("share", pa.int32()), ("split", pa.bool_()), ("after", pa.binary()), ("before", pa.binary()), ("doc_id", pa.int64()), ("place", pa.int32())])
-SUFFIX = "gram long, share int, split boolean, after binary, before binary, doc_id long, place int"
+_SUFFIX = pa.schema([("gram", pa.int64()), ("share", pa.int32()), ("split", pa.bool_()), ("windows", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32())])
+SUFFIX = "gram long, share int, split boolean, windows binary, doc_id long, start int"
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words after and before the wanted runs, two bytes each; before: from the run leftwards."""
+    """Hashes of the windows of the wanted minimisers, the first of which begins at `start`."""
     for batch in batches:
         rows = []
         for doc, text, anchors in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("anchors")):
-            h = word_hashes(words_of(text.as_py())).astype(np.uint64)
-            short = (mixed(h) >> np.uint64(48)).astype(np.uint16)
-            grams = windows(h, GRAM).view(np.int64)
+            runs = windows(word_hashes(words_of(text.as_py())).astype(np.uint64), GRAM)
+            grams, whole = runs.view(np.int64), _windows(runs)
             for a in anchors.as_py():
                 k = a["place"]
                 if k < len(grams) and grams[k] == a["gram"]:
-                    rows.append({"gram": a["gram"], "share": a["share"], "split": a["split"], "after": short[k + GRAM : k + GRAM + REACH].tobytes(), "before": short[max(0, k - REACH) : k][::-1].tobytes(), "doc_id": doc, "place": k})
+                    rows.append({"gram": a["gram"], "share": a["share"], "split": a["split"], "windows": whole[k - a["high"] : k - a["low"] + 1].tobytes(), "doc_id": doc, "start": k - a["high"]})
             if len(rows) > 5000:
                 yield pa.RecordBatch.from_pylist(rows, schema=_SUFFIX)
                 rows = []
@@ -107,89 +138,51 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema=_SUFFIX)
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """In how many words two sequences agree from the beginning."""
-    n = min(len(a), len(b)) // 2
-    if a[: 2 * n] == b[: 2 * n]:
-        return n
-    differ = np.frombuffer(a, np.uint16, n) != np.frombuffer(b, np.uint16, n)
-    return int(differ.argmax())
-
-
-def _repeat(first: dict, row: dict) -> dict | None:
-    """How far `row` repeats `first`, if over at least LEAST words."""
-    if first["gram"] != row["gram"] or (first["doc_id"], first["place"]) == (row["doc_id"], row["place"]):
-        return None
-    right, left = _common(first["after"], row["after"]), _common(first["before"], row["before"])
-    if left + GRAM + right < LEAST:
-        return None
-    return {"doc_id": row["doc_id"], "start": row["place"] - left, "n": left + GRAM + right, "first_doc": first["doc_id"], "first_start": first["place"] - left}
-
-
-def _resolve(stretch: list[dict]) -> tuple[list[dict], list[dict]]:
-    """(repeats, first copies) of suffixes of one run: the smallest document's copy is first, others of it repeats."""
-    repeats, firsts = [], []
-    left = sorted(stretch, key=lambda r: (r["doc_id"], r["place"]))
-    while left:
-        first, rest = left[0], []
-        for row in left[1:]:
-            found = _repeat(first, row)
-            if found:
-                repeats.append(found)
-            elif (row["doc_id"], row["place"]) != (first["doc_id"], first["place"]):
-                rest.append(row)
-        firsts.append(first)
-        left = rest
-    return repeats, firsts
-
-
-_FOUND = pa.schema([*_SUFFIX, ("kept", pa.bool_()), ("start", pa.int32()), ("n", pa.int32()), ("first_doc", pa.int64()), ("first_start", pa.int32())])
-FOUND = SUFFIX + ", kept boolean, start int, n int, first_doc long, first_start int"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("first_doc", pa.int64()), ("window", pa.int64())])
+FOUND = "doc_id long, start int, n int, first_doc long, window long"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats in stretches of sorted suffixes, and the copies kept of runs that are split."""
-    stretch: list[dict] = []
-    out: list[dict] = []
-
-    def close() -> None:
-        repeats, firsts = _resolve(stretch)
-        out.extend({"kept": False} | r for r in repeats)
-        out.extend({"kept": True} | r for r in firsts if r["split"])
-
+    """Repeats among the suffixes of a run's share, in order, and the windows met first (n = 0) of runs that are split."""
+    of, seen = None, {}
     for batch in batches:
-        for row in batch.to_pylist():
-            last = stretch[-1] if stretch else None
-            if last and (last["gram"] != row["gram"] or last["share"] != row["share"] or _common(last["after"], row["after"]) + GRAM + _common(last["before"], row["before"]) < LEAST):
-                close()
-                stretch = []
-            stretch.append(row)
-        if len(out) > 5000:
-            yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
-            out = []
-    if stretch:
-        close()
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
+        out = []
+        for gram, share, split, raw, doc, start in zip(*(c.to_pylist() for c in batch.columns)):
+            if (gram, share) != of:
+                of, seen = (gram, share), {}
+            again, firsts = [], []
+            for k, window in enumerate(np.frombuffer(raw, np.int64).tolist(), start):
+                first = seen.setdefault(window, (doc, k))
+                if first != (doc, k):
+                    again.append(k)
+                    firsts.append(first[0])
+                elif split:
+                    out.append((doc, k, 0, doc, window))
+            if again:
+                out.append((doc, again[0], again[-1] - again[0] + LEAST, min(firsts), None))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FOUND.types)], schema=_FOUND)
 
 
 def repeats(documents: DataFrame) -> DataFrame:
-    """(doc_id, start, n, first_doc, first_start): passages, in words, that repeat one of another place, which stays."""
+    """(doc_id, start, n, first_doc): passages, in words, all of which are in earlier places too; first_doc: the
+    smallest document of those where their windows come first."""
     importable(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    anchors = written(docs.mapInArrow(_anchors, "doc_id long, place int, gram long"), "minimisers")
+    scanned = written(docs.mapInArrow(_anchors, ANCHOR), "minimisers")
+    anchors = scanned.where("n = 0").drop("n")
     # a table of its own, so that both sides of the join are dealt out anew and a frequent run's rows can be split
     twice = written(anchors.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1"), "frequent")
     shares = F.ceil(F.col("held") / STRETCH)
-    dealt = anchors.join(twice, "gram").select("doc_id", F.struct("place", "gram", F.pmod(F.xxhash64("doc_id"), shares).cast("int").alias("share"), (shares > 1).alias("split")).alias("anchor"))
+    dealt = anchors.join(twice, "gram").select("doc_id", F.struct("place", "gram", "low", "high", F.pmod(F.xxhash64("doc_id"), shares).cast("int").alias("share"), (shares > 1).alias("split")).alias("anchor"))
     wanted = dealt.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     suffixes = docs.join(wanted, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_suffixes, SUFFIX)
-    order = ["gram", "share", "after", "doc_id", "place"]
-    found = written(suffixes.repartition("gram", "share").sortWithinPartitions(*order).mapInArrow(_neighbours, FOUND), "repeats")
-    kept = found.where("kept").select(*_SUFFIX.names).withColumns({"share": F.lit(0), "split": F.lit(False)})
-    more = kept.repartition("gram").sortWithinPartitions(*order).mapInArrow(_neighbours, FOUND)
-    columns = ("doc_id", "start", "n", "first_doc", "first_start")
-    return found.where("not kept").select(*columns).union(more.select(*columns))
+    found = written(suffixes.repartition("gram", "share").sortWithinPartitions("gram", "share", "doc_id", "start").mapInArrow(_neighbours, FOUND), "repeats")
+    first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("window"))
+    more = found.where("n = 0").withColumn("first", first).where(F.struct("doc_id", "start") != F.col("first"))
+    columns = ("doc_id", "start", "n", "first_doc")
+    within = scanned.where("n > 0").select("doc_id", F.col("place").alias("start"), "n", F.col("doc_id").alias("first_doc"))
+    return within.union(found.where("n > 0").select(*columns)).union(more.select("doc_id", "start", F.lit(LEAST), F.col("first.doc_id")))
 
 
 def passages(documents: DataFrame) -> DataFrame:

@@ -94,6 +94,31 @@ def test_minimisers_of_equal_passages_agree(prose):
     assert {int(k) - 100 for k in p[0] if 100 <= k <= 130} & {int(k) - 30 for k in q[0] if 30 <= k <= 60}
 
 
+def repeated_words(rows):
+    """By brute force: (doc_id, word) of all words in windows of 50 that an earlier place has too."""
+    first, out = {}, set()
+    for d, t in sorted((d, t) for d, t in rows if d is not None and t):
+        w = words_of(t)
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), (d, k)) != (d, k):
+                out |= {(d, k + j) for j in range(50)}
+    return out
+
+
+def covered(found):
+    return {(r.doc_id, r.start + k) for r in found for k in range(r.n)}
+
+
+def test_circular_passages_in_other_contexts(docs, prose):
+    rows = []
+    for k, (period, n) in enumerate((p, n) for p in (1, 3, 8, 12, 40) for n in (50, 55, 60, 70, 130) for _ in range(4)):
+        own = prose(5, 40, seed=1000 + k, vocabulary=4000)
+        words = own[4].split()[:period]
+        passage = " ".join((words * n)[:n])
+        rows += [(2 * k, f"{own[0]} {passage} {own[1]}"), (2 * k + 1, f"{own[2]} {passage} {own[3]}")]
+    assert covered(suffix_dedup.passages(docs(rows)).collect()) == repeated_words(rows)
+
+
 def test_language_model(docs):
     rnd = random.Random(6)
     follow = {f"w{k}": [f"w{rnd.randrange(50)}" for _ in range(2)] for k in range(50)}
