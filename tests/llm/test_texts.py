@@ -119,6 +119,23 @@ def test_circular_passages_in_other_contexts(docs, prose):
     assert covered(suffix_dedup.passages(docs(rows)).collect()) == repeated_words(rows)
 
 
+@pytest.mark.parametrize("stretch", [3, 2000])
+def test_overlapping_variants(docs, prose, monkeypatch, stretch):
+    """A, C that repeats a part of A, and D that repeats a part of C, half of which is in A, too."""
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+    rnd, rows = random.Random(5), []
+    for k in range(60):
+        a, c, d = (t.split() for t in prose(3, 90, seed=2000 + k, vocabulary=4000))
+        at, n = rnd.randint(0, 30), rnd.choice((50, 55, 60, 70))
+        c[:60] = a[30:90] if k % 2 else [*c[:60]]
+        c = c if k % 2 else [*c[:30], *a[at : at + 50 + k % 10], *c[30:]]
+        begin = rnd.randint(0, len(c) - n)
+        rows += [(10 * k, " ".join(a)), (10 * k + 1, " ".join(c)), (10 * k + 2, " ".join([*d[:30], *c[begin : begin + n], *d[30:]]))]
+        rows += [(10 * k + 3, " ".join([*d[30:40], *c[max(0, begin - 9) : begin + 41], *d[50:], *a[20:75]]))]
+    found = suffix_dedup.passages(docs(rows)).collect()
+    assert covered(found) == repeated_words(rows) and all(r.first_doc_id <= r.doc_id for r in found)
+
+
 def test_language_model(docs):
     rnd = random.Random(6)
     follow = {f"w{k}": [f"w{rnd.randrange(50)}" for _ in range(2)] for k in range(50)}
