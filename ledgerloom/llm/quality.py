@@ -16,6 +16,7 @@ gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -30,6 +31,8 @@ from ledgerloom.llm.common import importable, written
 THRESHOLD = 0.3
 SAMPLE, PAIRS = 20_000, 60_000
 SEED = 11
+#: Words of a stretch in which distinct ones are counted.
+WINDOW = 400
 
 FEATURES = ("distinct", "top", "again", "short_period", "upper", "marks", "mark_runs", "wordless", "digits", "length", "size", "lines")
 _UPPER = np.array([chr(b).isupper() for b in range(128)] + [False] * 128)
@@ -40,8 +43,8 @@ _MARK = ~(_LETTER | _DIGIT | _SPACE)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shares of words: distinct, the commonest, equal to the one before, seen among the last eight, without letters. Of
-    characters: upper case, marks, marks that follow the same mark, digits. Then mean length of words, log of their
+    """Shares of words: distinct, the commonest, equal to the one before, distinct in stretches of WINDOW words (a last
+    one that is shorter counts by its length), without letters, each over the whole text. Of characters: upper case, marks, marks that follow the same mark, digits. Then mean length of words, log of their
     number, lines for each word."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -51,12 +54,12 @@ def features(text: str | None) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
     counts = np.bincount(b, minlength=256)
     letters, dense = max(1, counts[_LETTER].sum()), len(b) - counts[_SPACE].sum()
-    distinct = len(set(words))
+    counted = Counter(words)
+    distinct, top = len(counted), max(counted.values())
     mark = _MARK[b]
     runs = int((mark[1:] & (b[1:] == b[:-1])).sum())
     again = sum(map(eq, words, words[1:]))
-    period = len({w for w in words[:400]}) / min(n, 400)
-    top = max(map(words.count, set(words[:24]))) if n <= 4000 else max(map(words[:4000].count, set(words[:24]))) * n / 4000
+    period = (distinct if n <= WINDOW else sum(len(set(words[k : k + WINDOW])) for k in range(0, n, WINDOW))) / n
     # words without letters: their letters' places are counted by cutting at the spaces
     gap = np.flatnonzero(_SPACE[b])
     letter_sum = np.concatenate([[0], np.cumsum(_LETTER[b])])

@@ -193,6 +193,15 @@ def test_quality(spark, docs, prose):
     assert quality.classify(docs([]), labels).count() == 0
 
 
+def test_features_read_whole_texts():
+    clean = [f"w{k}" for k in range(400)]
+    at = {n: k for k, n in enumerate(quality.FEATURES)}
+    f = quality.features(" ".join(clean + ["junk", "text"] * 300))
+    assert f[at["top"]] == 300 / 1000 and f[at["short_period"]] == (400 + 2 + 2) / 1000
+    f = quality.features(" ".join(clean * 10 + ["late"] * 1000))
+    assert f[at["top"]] == 1000 / 5000 and f[at["short_period"]] == (10 * 400 + 1 + 1 + 1) / 5000
+
+
 def test_pipeline(spark):
     folder = "/root/testdata/sf0.001"
     docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
