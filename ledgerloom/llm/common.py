@@ -49,10 +49,15 @@ def ascii_lower(text: Column) -> Column:
 
 
 def slices(text: str, most: int = 1 << 20, at: str = " ") -> Iterator[str]:
-    """The whole text in parts of at least `most` characters, each but the last ending before an `at`."""
+    """The whole text in parts, each but the last of at least `most` characters and ending before a run of `at`, whole runs
+    of which stay together."""
     begin = 0
     while len(text) - begin > most:
         end = text.find(at, begin + most)
+        if 0 <= end == begin + most and text[end - 1] == at:  # inside a run: on to the one after it
+            while text[end : end + 1] == at:
+                end += 1
+            end = text.find(at, end)
         if end < 0:
             break
         yield text[begin:end]

@@ -45,6 +45,16 @@ def test_long_text_in_parts(monkeypatch):
     assert model.encode(text) == library.encode(text)
 
 
+def test_runs_of_spaces_across_cuts(monkeypatch):
+    monkeypatch.setattr(piece_bpe, "PART", 50)
+    model, library = piece_bpe.piece_model(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for n in range(1, 41):
+        for before in range(10, 50):
+            text = "a" * before + " " * n + "the end" + " " * n + "\n" + " " * n + "b  c" + "   d" * 20
+            assert model.encode(text) == library.encode(text), (n, before)
+    assert model.encode(" " * 500) == library.encode(" " * 500)
+
+
 def test_piece_digests(spark, docs):
     texts = [*ODD, None, ODD[5]]
     rows = {(r.doc_id): r for r in piece_bpe.encode_digests(docs(list(enumerate(texts[:-1])) + [(None, texts[-1])]), PIECES).collect()}
