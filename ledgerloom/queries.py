@@ -201,6 +201,16 @@ def duplicate_checksums(spark, d):
     return text_checksum(spark, d).groupBy("checksum").agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_file")).where("n_files > 1")
 
 
+@query()  # quoting is beyond SQL
+def text_checksum_all(spark, d):
+    return read(spark, d, "documents").select("doc_id", sqltext.checksum(F.col("text")).alias("checksum"))
+
+
+@query()
+def duplicate_checksums_all(spark, d):
+    return text_checksum_all(spark, d).where("checksum is not null").groupBy("checksum").agg(F.count("*").alias("n_files"), F.min("doc_id").alias("first_file")).where("n_files > 1")
+
+
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d_%H%M%S') || '__order_' || o_custkey || '.sql' AS file_name FROM orders""")
 def filename_generate(spark, d):
     n = Naming()

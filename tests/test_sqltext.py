@@ -1,8 +1,11 @@
+import hashlib
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ledgerloom import queries
 from ledgerloom.functions import sqltext
 
 CASES = [
@@ -32,3 +35,15 @@ def test_directives(spark):
     text = "-- loom:allow a, b c\nSELECT 1;\n  -- loom:allow d\n-- loom:allow b\n-- loom:depends-on x.sql\n-- loom:depends-on y.sql z"
     r = spark.createDataFrame([(text,)], "sql string").select(sqltext.allowed_rules(F.col("sql")).alias("a"), sqltext.declared_dependencies(F.col("sql")).alias("d")).first()
     assert (r.a, r.d) == (["a", "b", "c"], ["x.sql", "y.sql"])
+
+
+def test_checksums_of_all_documents(spark, tmp_path):
+    rows = list(enumerate([*(sql for sql, _ in CASES), '"a  b" ', "$$ a  -- b $$\n", "$x$ a $$  b $x$ c", '"a b"', None]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {k: None if t is None else hashlib.sha256(sqltext.normalize(t).encode()).hexdigest() for k, t in rows}
+    assert {r.doc_id: r.checksum for r in queries.QUERIES["text_checksum_all"](spark, str(tmp_path)).collect()} == wanted
+    of = {}
+    for k, c in wanted.items():
+        of.setdefault(c, []).append(k)
+    found = {(r.checksum, r.n_files, r.first_file) for r in queries.QUERIES["duplicate_checksums_all"](spark, str(tmp_path)).collect()}
+    assert found == {(c, len(k), min(k)) for c, k in of.items() if c and len(k) > 1}
