@@ -6,7 +6,10 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.functions.naming import padded
+from ledgerloom.operators import ledger, statements
 from ledgerloom.plans.project import Project
 
 
@@ -51,26 +54,42 @@ def _run(project: Project, given: argparse.Namespace) -> int:
         case "squash":
             print("\n".join(map(str, project.squash())))
         case "lint":
-            return int(any(r.severity == "error" for r in _show(project.lint().orderBy("file_name", "ord", "rule"))))
+            found = project.lint()
+            _show(found.orderBy("file_name", "ord", "rule"))
+            totals = {r.file_name: (r.errors, r.warnings) for r in statements.severity_totals(found, "file_name").collect()}
+            errors, warnings = totals.get(None, (0, 0))
+            print(f"{errors} errors, {warnings} warnings")
+            return int(errors > 0)
         case "dump":
             print(project.dump())
         case "diff":
             return int(bool(_show(project.diff().orderBy("pos"))))
         case "status":
-            _show(project.status().orderBy("file_name"))
+            found = project.status()
+            _show(found.select(padded(F.col("status"), 12), "file_name", "checksum", "applied_at").orderBy("file_name"))
+            print(", ".join(f"{n} {k}" for k, n in ledger.status_counts(found).first().asDict().items()))
         case "resolve":
             project.resolve(given.file)
         case "editable":
             _show(project.editable().orderBy("file_name"))
         case "verify":
-            return int(not all(r.passed for r in _show(project.verify(given.all))))
+            found = project.verify(given.all)
+            _show(found)
+            count = statements.passed_counts(found).first()
+            print(f"{count.passed} passed, {count.failed} failed")
+            return int(count.failed > 0)
         case "deps":
             tree = project.dependencies()
             print("\n".join(tree.tree()))
             if given.html:
                 with open(given.html, "w") as f:
                     f.write(tree.html())
-            return int(bool(_show(tree.cycles())))
+            paths = tree.cycle_paths()
+            for path in paths:
+                print("cycle: " + " -> ".join(path))
+            count = tree.counts().first()
+            print(f"{count.nodes} files, {count.edges} dependencies, {count.leaves} leaves")
+            return int(bool(paths))
     return 0
 
 

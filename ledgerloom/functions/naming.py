@@ -62,3 +62,13 @@ def next_serial(stamps: Column, width: int) -> Column:
     """An aggregate: the serial after the largest, padded with zeros and never cut."""
     following = (F.coalesce(F.max(stamps.try_cast("bigint")), F.lit(0)) + 1).cast("string")
     return F.lpad(following, F.greatest(F.lit(width), F.length(following)), "0")
+
+
+def short_name(name: Column) -> Column:
+    """A file name without its time and its ending."""
+    return F.regexp_replace(F.regexp_replace(name, r"\.sql$", ""), r"^\d{8}_\d{6}__", "")
+
+
+def padded(label: Column, width: int) -> Column:
+    """A label with spaces up to a width, never cut."""
+    return F.rpad(label, F.greatest(F.lit(width), F.length(label)), " ")

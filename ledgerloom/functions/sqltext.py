@@ -11,50 +11,39 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_DOLLAR = re.compile(r"\$[A-Za-z0-9_]*\$")
+from ledgerloom.storage import importable
+
 _SPACE = re.compile(r"[\s﻿]+")
+#: What begins at a place: each kind a group, tried in this order. Text outside quotes comes in runs, semicolons alone.
+_TOKEN = re.compile(
+    r"""(?P<comment>--[^\n]*|/\*)
+    |(?P<quoted>'(?:[^']|'')*+(?:'|\Z)|"(?:[^"]|"")*+(?:"|\Z)|[eE]'(?:[^'\\]|\\.|'')*+(?:'|\\?\Z)|(?P<tag>\$[A-Za-z0-9_]*\$)(?:.*?(?P=tag)|.*\Z))
+    |(?P<space>[\s﻿]+)
+    |(?P<other>(?:[^\s﻿'"$/;eE-]|[eE](?!')|-(?!-)|/(?!\*)|\$(?![A-Za-z0-9_]*\$))+|.)""",
+    re.S | re.X,
+)
+_NESTED = re.compile(r"/\*|\*/")
 
 
 def tokens(sql: str) -> Iterator[tuple[str, str]]:
-    """(kind, text) in order; kinds: comment, quoted, space, other."""
-    at, n = 0, len(sql)
-    while at < n:
-        two, c = sql[at : at + 2], sql[at]
-        if two == "--":
-            end = sql.find("\n", at)
-            end, kind = n if end < 0 else end, "comment"
-        elif two == "/*":
-            depth, end, kind = 1, at + 2, "comment"
-            while depth and end < n:
-                step = sql[end : end + 2]
-                depth += (step == "/*") - (step == "*/")
-                end += 2 if step in ("/*", "*/") else 1
-            end = min(end, n)
-        elif c in "'\"" or (c in "eE" and sql[at + 1 : at + 2] == "'"):
-            quote = c if c in "'\"" else "'"
-            end, kind = at + (1 if c == quote else 2), "quoted"
-            while end < n:
-                if quote == "'" and c != quote and sql[end] == "\\":
-                    end += 2
-                elif sql[end] == quote and sql[end + 1 : end + 2] == quote:
-                    end += 2
-                elif sql[end] == quote:
-                    end += 1
+    """(kind, text) in order; kinds: comment, quoted, space, other (runs of text; semicolons one by one)."""
+    at = 0
+    while at < len(sql):
+        m = _TOKEN.match(sql, at)
+        kind, end = m.lastgroup if m.lastgroup != "tag" else "quoted", m.end()
+        if m["comment"] == "/*":  # comments nest
+            depth = 1
+            for mark in _NESTED.finditer(sql, end):
+                depth += 1 if mark[0] == "/*" else -1
+                end = mark.end()
+                if not depth:
                     break
-                else:
-                    end += 1
-            end = min(end, n)
-        elif c == "$" and (m := _DOLLAR.match(sql, at)):
-            end, kind = sql.find(m[0], m.end()), "quoted"
-            end = n if end < 0 else end + len(m[0])
-        elif m := _SPACE.match(sql, at):
-            end, kind = m.end(), "space"
-        else:
-            end, kind = at + 1, "other"
+            if depth:
+                end = len(sql)
         yield kind, sql[at:end]
         at = end
 
@@ -77,9 +66,12 @@ def _normalized(texts: pd.Series) -> pd.Series:
 
 
 def normalized(sql: Column) -> Column:
-    """Texts without quotes, comment marks and dollars need no lexer: those stay on the JVM."""
+    """Texts without quotes, comment marks and dollars need no lexer: those stay on the JVM, and the lexer gets nulls."""
+    if session := SparkSession.getActiveSession():
+        importable(session)
     plain = F.trim(F.regexp_replace(sql, r"[\s\p{Z}\x{FEFF}]+", " "))
-    return F.when(sql.rlike(r"--|/\*|['\"$]"), _normalized(sql)).otherwise(plain)
+    marked = sql.rlike(r"--|/\*|['\"$]")
+    return F.when(marked, _normalized(F.when(marked, sql))).otherwise(plain)
 
 
 def checksum(sql: Column) -> Column:

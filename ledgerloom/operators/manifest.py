@@ -75,10 +75,3 @@ def squashed(files: DataFrame, group: str = "component") -> DataFrame:
     body = lambda x: F.concat(F.lit("-- Source: "), x["file_name"], F.lit("\n"), x["sql"])
     rows = files.groupBy(group).agg(ordered.alias("all")).where(F.size("all") >= 2)
     return rows.select(group, F.array_join(F.transform("all", lambda x: x["description"]), "_and_").alias("description"), F.array_join(F.transform("all", body), "\n\n").alias("sql"), F.size("all").cast("long").alias("n_files"))
-
-
-def ranked_tail(files: DataFrame) -> DataFrame:
-    """Every file with whether it is the last one in order."""
-    last = files.agg(F.max(F.struct("sort_key", "dir_index", "file_name")).alias("top"))
-    return files.join(F.broadcast(last)).select(*files.columns, (F.col("file_name") == F.col("top.file_name")).alias("is_tail"))
-

@@ -65,9 +65,25 @@ def not_allowed(rules: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def with_severity(violations: DataFrame, severity: DataFrame) -> DataFrame:
     """severity: (rule, severity), a row a rule at most: rules that are off go, unknown ones are errors."""
-    known = violations.join(F.broadcast(severity), "rule", "left").where(F.coalesce("severity", F.lit("error")) != "off")
+    known = violations.join(severity, "rule", "left").where(F.coalesce("severity", F.lit("error")) != "off")
     return known.withColumn("severity", F.when(F.col("severity") == "warn", "warn").otherwise("error"))
 
 
 def severity_counts(violations: DataFrame, *by: str) -> DataFrame:
     return violations.groupBy(*by).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warn").alias("warnings"))
+
+
+def severity_totals(violations: DataFrame, by: str) -> DataFrame:
+    """Errors and warnings of each `by`, and of all together in a row without one."""
+    return violations.rollup(by).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warn").alias("warnings"))
+
+
+def created_so_far(creates: Column, *names: str) -> Column:
+    """Whether the file has created an object of the row's names, at this statement or before."""
+    own = Window.partitionBy("file_name", *names).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.max(creates).over(own), F.lit(False))
+
+
+def passed_counts(results: DataFrame) -> DataFrame:
+    """results: (passed): one row (passed, failed)."""
+    return results.agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.ddl import parsed
+from ledgerloom.functions.naming import short_name
 from ledgerloom.functions.sqltext import declared_dependencies
 from ledgerloom.operators import graph
 from ledgerloom.storage import settled
@@ -29,8 +30,17 @@ class Dependencies:
     def cycles(self) -> DataFrame:
         return graph.cycle_nodes(self.edges)
 
+    def cycle_paths(self) -> list[list[str]]:
+        """A path for each edge that closes a cycle."""
+        return graph.cycle_paths([r.node for r in self.nodes.collect()], [(r.src, r.dst) for r in self.edges.collect()])
+
+    def counts(self) -> DataFrame:
+        """One row: nodes, edges, leaves."""
+        return graph.counts(self.nodes, self.edges)
+
     def dependents(self, file: str) -> DataFrame:
-        return graph.closure(self.edges).where(F.col("dst") == file).select(F.col("src").alias("node")).distinct()
+        """What depends on a file, by some path."""
+        return graph.reached(self.edges, self.nodes.where(F.col("node") == file)).where(F.col("node") != file)
 
     def depths(self) -> DataFrame:
         return graph.depths(self.nodes, self.edges)
@@ -44,12 +54,25 @@ class Dependencies:
         return [r.node for r in graph.trunk(graph.primary_parents(self.edges, depth), depth).orderBy("step").collect()]
 
     def html(self) -> str:
-        """A page with the tree and the edges, without anything from elsewhere."""
+        """A page with the graph (columns by depth, editable files marked), the tree and the edges, without anything from
+        elsewhere."""
         from html import escape
 
-        rows = "".join(f"<tr><td>{escape(r.src)}</td><td>{escape(r.dst)}</td><td>{escape(r.via)}</td></tr>" for r in self.edges.orderBy("src", "dst").collect())
+        edges = self.edges.orderBy("src", "dst").collect()
+        depth = {r.node: r.depth for r in self.depths().collect()}
+        short = {r.node: r.short for r in self.nodes.select("node", short_name(F.col("node")).alias("short")).collect()}
+        editable = {r.node for r in self.leaves().collect()}
+        rows: dict[int, int] = {}
+        place = {}
+        for node in sorted(depth, key=lambda n: (depth[n], n)):
+            rows[depth[node]] = rows.get(depth[node], 0) + 1
+            place[node] = (20 + 260 * depth[node], 30 * rows[depth[node]])
+        lines = "".join(f'<line x1="{place[e.src][0]}" y1="{place[e.src][1]}" x2="{place[e.dst][0] + 8}" y2="{place[e.dst][1]}" stroke="#999"><title>{escape(e.via)}</title></line>' for e in edges if e.src in place and e.dst in place)
+        dots = "".join(f'<circle cx="{x}" cy="{y}" r="6" fill="{"#2a2" if n in editable else "#888"}"/><text x="{x + 10}" y="{y + 4}" font-size="12"><title>{escape(n)}</title>{escape(short[n])}</text>' for n, (x, y) in place.items())
+        size = f'width="{300 + 260 * max(rows, default=0)}" height="{40 + 30 * max(rows.values(), default=0)}"'
+        table = "".join(f"<tr><td>{escape(e.src)}</td><td>{escape(e.dst)}</td><td>{escape(e.via)}</td></tr>" for e in edges)
         tree = escape("\n".join(self.tree()))
-        return f"<!doctype html><meta charset=utf-8><title>Dependencies</title><pre>{tree}</pre><table><tr><th>script<th>depends on<th>through</tr>{rows}</table>\n"
+        return f"<!doctype html><meta charset=utf-8><title>Dependencies</title><svg {size}>{lines}{dots}</svg><pre>{tree}</pre><table><tr><th>script<th>depends on<th>through</tr>{table}</table>\n"
 
 
 def build(files: DataFrame, declared: dict[str, list[str]] | None = None, tool: str = "loom") -> Dependencies:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.ddl import parsed
@@ -46,12 +46,15 @@ def commands(condition: Callable[[Column], Column], message: str) -> Column:
     return F.when(kind("alter-table"), F.transform(hits, lambda c: F.replace(text, F.lit("{name}"), c["name"]))).otherwise(F.array().cast("array<string>"))
 
 
-def with_context(rows: DataFrame) -> DataFrame:
-    """Running state: tables created so far, whether timeouts were set, whether inside a transaction, and first hits."""
-    window = statements.so_far()
+def with_context(rows: DataFrame, sets: bool = False) -> DataFrame:
+    """Running state: whether the relation was created so far, whether timeouts were set, whether inside a transaction,
+    and first hits. With `sets`, also all tables created so far, as an array in each row."""
     locks = kind("create-table", "alter-table", "drop") | (kind("index") & ~F.col("concurrent"))
+    rows = rows.withColumn("table", F.element_at(F.split("relation", r"\."), -1))
+    if sets:
+        rows = rows.withColumn("created", F.collect_set(F.when(kind("create-table"), F.col("table"))).over(statements.so_far()))
     rows = rows.withColumns({
-        "created": F.collect_set(F.when(kind("create-table"), F.element_at(F.split("relation", r"\."), -1))).over(window),
+        "own_table": statements.created_so_far(kind("create-table"), "table"),
         "lock_timeout_set": statements.latch(kind("set", "reset") & (F.col("setting") == "lock_timeout")),
         "statement_timeout_set": statements.latch(kind("set") & (F.col("setting") == "statement_timeout")),
         "in_transaction": statements.toggle(kind("begin"), kind("commit")),
@@ -93,7 +96,7 @@ def _view_star() -> Column:
 
 
 RULES: tuple[Rule, ...] = (
-    Rule("require-concurrent-index", "use CREATE INDEX CONCURRENTLY on a table that is in use", lambda: when(kind("index") & ~F.col("concurrent") & ~F.array_contains("created", F.element_at(F.split("relation", r"\."), -1)), "index on {relation} blocks writes")),
+    Rule("require-concurrent-index", "use CREATE INDEX CONCURRENTLY on a table that is in use", lambda: when(kind("index") & ~F.col("concurrent") & ~F.col("own_table"), "index on {relation} blocks writes")),
     Rule("require-if-not-exists", "add IF NOT EXISTS or IF EXISTS, so the script can run again", lambda: when(kind("create-table", "index", "drop") & ~F.col("if_exists"), "statement on {relation} fails if it is run again")),
     Rule("require-lock-timeout", "SET lock_timeout before the first DDL statement", lambda: when(F.col("first_unlocked"), "DDL without a lock_timeout")),
     Rule("ban-concurrent-index-in-transaction", "run it outside BEGIN and COMMIT", lambda: when(kind("index") & F.col("concurrent") & F.col("in_transaction"), "CREATE INDEX CONCURRENTLY on {relation} inside a transaction")),
@@ -157,7 +160,8 @@ def violations(files: DataFrame, rules: tuple[Rule, ...] | list[Rule] = RULES, s
     if not active:
         return spark.createDataFrame([], schema + ", severity string, hint string").select("file_name", "ord", "rule", "severity", "message", "hint")
     # parsed once, whatever the number of rules
-    rows = settled(with_context(parsed(files).where("error is null")))
+    own = {r.id for r in RULES}
+    rows = settled(with_context(parsed(files).where("error is null"), sets=any(r.id not in own for r in active)))
     single = [F.struct(F.lit(r.id).alias("rule"), r.row().alias("messages")) for r in active if r.row]
     found = spark.createDataFrame([], schema)
     if single:
@@ -175,7 +179,3 @@ def violations(files: DataFrame, rules: tuple[Rule, ...] | list[Rule] = RULES, s
 def parse_errors(files: DataFrame) -> DataFrame:
     return parsed(files).where("error is not null").select("file_name", "error")
 
-
-def row_numbered(rows: DataFrame) -> DataFrame:
-    """Violations of each file in order, numbered from 1."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("file_name").orderBy(F.col("ord").asc_nulls_last(), "rule")))

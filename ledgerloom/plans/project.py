@@ -18,6 +18,7 @@ from ledgerloom.plans import dependencies, lint
 from ledgerloom.sources import catalog, scripts
 from ledgerloom.sources import manifest as manifest_file
 from ledgerloom.sources.ledger import Ledger
+from ledgerloom.storage import delete
 
 
 @dataclass
@@ -114,8 +115,12 @@ class Project:
         return snapshot.differences(rows.where("key = 0").drop("key"), rows.where("key = 1").drop("key"))
 
     def apply(self, drift_check: bool = False) -> Applied:
-        """Run what is to run, in order; each outcome goes into the ledger. One run at a time."""
+        """Run what is to run, in order; each outcome goes into the ledger. One run at a time. With a drift check, what
+        was applied goes into the saved snapshot at the end."""
         out = Applied()
+        if not catalog.available(self.spark):
+            out.errors.append("the session runs no statements")
+            return out
         with self.ledger.lock():
             if drift_check and self.config.path(self.config.snapshot).exists() and not self.diff().isEmpty():
                 out.errors.append("the database differs from the saved snapshot")
@@ -128,15 +133,16 @@ class Project:
             actions = {r.file_name: r.action for r in ledger_operators.decisions(marked, self.ledger.rows()).collect()}
             rows = {r.file_name: r for r in files.orderBy("sort_key", "dir_index", "file_name").collect()}
             order = (tree.order() if tree else None) or list(rows)
-            edges = [(r.src, r.dst) for r in tree.edges.collect()] if tree else []
-            bad: set[str] = set()
+            dependents: dict[str, list[str]] = {}
+            for r in tree.edges.collect() if tree else ():
+                dependents.setdefault(r.dst, []).append(r.src)
+            blocked: set[str] = set()
             before = self.spark.catalog.currentDatabase()
             self.spark.sql(f"USE {self.database}")
             try:
                 for name in order:
-                    if any(dst in bad for src, dst in edges if src == name):
+                    if name in blocked:
                         out.blocked.append(name)
-                        bad.add(name)
                         continue
                     if actions[name] in ("skip", "unchanged"):
                         out.skipped.append(name)
@@ -149,15 +155,22 @@ class Project:
                         continue
                     out.errors.append(f"{name}: {error}")
                     out.failed = out.failed or name
-                    bad.add(name)
                     if not is_graph:
                         break
+                    above = [name]
+                    while above:
+                        new = set(dependents.get(above.pop(), ())) - blocked - {name}
+                        blocked |= new
+                        above += new
             finally:
                 self.spark.sql(f"USE {before}")
+            if drift_check and out.applied and not out.errors:
+                self.dump()
         return out
 
     def squash(self) -> list[Path]:
-        """Join new scripts that depend on each other (all of them without a graph) into one; it is recorded."""
+        """Join new scripts that depend on each other (all of them without a graph) into one; it is recorded. The joined
+        scripts and the manifest are written first, and only then do their sources go."""
         m, files = self.manifest(), self.files()
         new = manifest.new_files(files, m.rows(self.spark))
         if m.is_graph:
@@ -167,19 +180,21 @@ class Project:
         else:
             groups = new.select("file_name", F.lit("all").alias("component"))
         rows = groups.join(files, "file_name").select("component", "file_name", "sort_key", "description", "sql", "file_path")
-        made = []
+        made, sources = [], []
         for group in manifest.squashed(rows).collect():
             own = rows.where(F.col("component") == group.component).orderBy("sort_key").collect()
             name = self.spark.range(1).select(self.config.naming.name(F.lit(own[-1].sort_key), F.lit(group.description))).first()[0]
-            for r in own:
-                Path(re.sub("^file:/*", "/", r.file_path)).unlink()
+            sources += [r.file_path for r in own if r.file_name != name]
             path = self.config.path(self.config.migrations[0]) / name
             path.write_text(group.sql)
             made.append(path)
-        sums = {r.file_name: r.checksum for r in self.files().collect()} if made else {}
+        names = [p.name for p in made]
+        sums = {r.file_name: r.checksum for r in self.files().where(F.col("file_name").isin(names)).collect()} if made else {}
         m.entries |= {p.name: sums[p.name] for p in made}
         if made:
             manifest_file.save(m, self.config.path(self.config.manifest))
+        for uri in sources:
+            delete(self.spark, uri)
         return made
 
     def verify(self, every: bool = False) -> DataFrame:

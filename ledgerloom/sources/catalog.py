@@ -11,6 +11,14 @@ from pyspark.sql import SparkSession
 from ledgerloom.functions.sqltext import tokens
 
 
+def available(spark: SparkSession) -> bool:
+    """Whether statements can be run: the session answers."""
+    try:
+        return spark.sql("SELECT 1").count() == 1
+    except Exception:  # whatever a stopped or broken session raises
+        return False
+
+
 def split_script(sql: str) -> list[str]:
     """The statements of a script, without comments; semicolons inside quotes don't count."""
     out, now = [], ""

@@ -1,7 +1,11 @@
+import random
+
+import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from ledgerloom.operators import graph
+from ledgerloom.operators import graph, local_graph
 
 FAN = [("b", "a"), ("c", "a"), ("d", "b")]
 
@@ -14,11 +18,17 @@ def nodes(spark, names):
     return spark.createDataFrame([(n,) for n in names], "node string")
 
 
+@pytest.fixture(params=[graph.LOCAL, 0], ids=["in tasks", "in rounds"])
+def local(request, monkeypatch):
+    """Both ways: whole components in tasks, and rounds of joins."""
+    monkeypatch.setattr(graph, "LOCAL", request.param)
+
+
 def names(df):
     return sorted(r[0] for r in df.collect())
 
 
-def test_fan(spark):
+def test_fan(spark, local):
     e, n = edges(spark, FAN), nodes(spark, "abcd")
     assert names(graph.leaves(n, e)) == ["c", "d"] and names(graph.roots(n, e)) == ["a"]
     assert sorted(tuple(r) for r in graph.closure(e).collect()) == [("b", "a"), ("c", "a"), ("d", "a"), ("d", "b")]
@@ -28,14 +38,14 @@ def test_fan(spark):
     assert [r.node for r in graph.trunk(graph.primary_parents(e, depth), depth).orderBy("step").collect()] == ["d", "b", "a"]
 
 
-def test_cycle_and_empty(spark):
+def test_cycle_and_empty(spark, local):
     e = edges(spark, [("a", "b"), ("b", "a"), ("c", "a")])
     assert names(graph.cycle_nodes(e)) == ["a", "b"]
     assert graph.closure(edges(spark, [])).count() == 0
     assert graph.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
-def test_components_of_a_chain_and_a_star(spark):
+def test_components_of_a_chain_and_a_star(spark, local):
     pairs = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 130), 100)}
@@ -65,3 +75,69 @@ def test_topological_order_respects_edges(pairs):
 
 def test_tree():
     assert graph.tree_lines({"b": "a", "c": "a", "d": "b"}, list("abcd")) == ["a", "├── b", "│   └── d", "└── c"]
+
+
+def brute(pairs):
+    """All (a, b) joined by a path; each node's smallest partner on cycles; longest paths with cycles taken together."""
+    paths = set(pairs)
+    while more := {(a, d) for a, b in paths for c, d in paths if b == c} - paths:
+        paths |= more
+    nodes = {x for p in pairs for x in p}
+    label = {a: min([a, *(b for b in nodes if (a, b) in paths and (b, a) in paths)]) for a in nodes}
+
+    def depth(a):
+        return max([0, *(1 + depth(d) for s, d in pairs if label[s] == label[a] != label[d])])
+
+    return paths, label, {a: depth(a) for a in nodes}
+
+
+def graphs(n, seed=3):
+    rnd = random.Random(seed)
+    for _ in range(n):
+        size = rnd.randint(1, 9)
+        yield {(rnd.randrange(size), rnd.randrange(size)) for _ in range(rnd.randint(0, 14))}
+
+
+def test_local_algorithms():
+    for pairs in graphs(300):
+        paths, label, depth = brute(pairs)
+        src, dst = (np.array([p[k] for p in pairs], dtype=np.int64) for k in (0, 1))
+        assert {(int(a), int(b)) for x, y in local_graph.pairs(10, src, dst) for a, b in zip(x, y)} == paths
+        strong, deep = local_graph.strong(10, src, dst), local_graph.depths(10, src, dst)
+        assert all(strong[a] == label[a] and deep[a] == depth[a] for a in label)
+        assert set(np.flatnonzero(local_graph.cyclic(10, src, dst)).tolist()) == {a for a, b in paths if a == b}
+        assert set(np.flatnonzero(local_graph.reached(10, src, dst, np.array([0, 1]))).tolist()) == {a for a, b in paths if b in (0, 1)}
+
+
+def test_graphs_with_cycles(spark, local):
+    """Several graphs at once, each with nodes of its own."""
+    every = [{(f"{k}/{a}", f"{k}/{b}") for a, b in pairs} for k, pairs in enumerate(graphs(12, seed=5))]
+    paths, depth, nodes_, start = set(), {}, set(), {f"{k}/{a}" for k in range(12) for a in (0, 1)}
+    for pairs in every:
+        p, _, d = brute(pairs)
+        paths |= p
+        depth |= d
+        nodes_ |= set(d)
+    e = edges(spark, [p for pairs in every for p in pairs])
+    assert {tuple(r) for r in graph.closure(e).collect()} == paths
+    assert {r.node: r.depth for r in graph.depths(nodes(spark, sorted(nodes_)), e).collect()} == depth
+    assert names(graph.cycle_nodes(e)) == sorted({a for a, b in paths if a == b})
+    assert names(graph.blocked(e, nodes(spark, sorted(start)))) == sorted({a for a, b in paths if b in start} - start)
+    assert names(graph.reached(e, nodes(spark, sorted(start)))) == sorted({a for a, b in paths if b in start})
+
+
+def test_trunk(spark, local):
+    parents = spark.createDataFrame([(k, k - 1) for k in range(1, 40)] + [(100, 5)], "child long, parent long")
+    depth = spark.createDataFrame([(k, k) for k in range(40)] + [(100, 6), (200, 39)], "node long, depth long")
+    assert [tuple(r) for r in graph.trunk(parents, depth).orderBy("step").collect()] == [(39 - k, k) for k in range(40)]
+
+
+def test_cycle_paths():
+    found = graph.cycle_paths(list("abcde"), [("a", "b"), ("b", "c"), ("c", "a"), ("c", "b"), ("d", "a"), ("e", "e")])
+    assert found == [["a", "b", "c", "a"], ["b", "c", "b"], ["e", "e"]]
+    chain = [(f"{k:05}", f"{k + 1:05}") for k in range(5000)]
+    assert graph.cycle_paths([], chain) == [] and len(graph.tree_lines({b: a for a, b in chain}, [f"{k:05}" for k in range(5001)])) == 5001
+
+
+def test_counts(spark):
+    assert graph.counts(nodes(spark, "abcd"), edges(spark, FAN)).first().asDict() == {"nodes": 4, "edges": 3, "leaves": 2}

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.functions.ddl import parse
+from ledgerloom.operators import statements
 from ledgerloom.plans import lint
 
 #: rule: (texts with a hit, texts without)
@@ -89,3 +91,24 @@ def test_parse_dependencies():
     assert one("DROP TABLE a, b")["names"] == ["a", "b"]
     assert parse("CREATE FUNCTION f() RETURNS int AS $$ SELECT 1; $$ LANGUAGE sql; SELECT 2")[0][0]["creates"] == [{"type": "function", "name": "f"}]
     assert parse("SELECT (1")[1] and parse("FROB x")[1] and parse("")[0] == [] and parse(None) == ([], None)
+
+
+@pytest.mark.parametrize("sql", ["ALTER TABLE t FROB", "INSERT INTO", "SELECT FROM WHERE", "SELECT a,", "SELECT a FROM t GROUP BY", "CREATE TABLE t (a)", "CREATE TABLE t (a int,)", "CREATE VIEW v AS", "DELETE t", "UPDATE t", "SET x", "DROP TABLE t NOW", "ALTER TABLE t", "SELECT a + FROM t", "CREATE INDEX i ON t", "CREATE FUNCTION f", "ALTER TABLE t ALTER a FROB", "ALTER TABLE t RENAME"])
+def test_mistakes_give_no_statements(sql):
+    assert parse(f"SELECT 1; {sql}; SELECT 2")[0] == [] and parse(sql)[1]
+
+
+@pytest.mark.parametrize("sql", ["SELECT count(*), a.* FROM t a WHERE a <> -1", "INSERT INTO t DEFAULT VALUES", "INSERT INTO t VALUES (1) ON CONFLICT (a) DO UPDATE SET b = 2 RETURNING *", "ALTER TABLE t OWNER TO x", "ALTER TABLE t ENABLE ROW LEVEL SECURITY", "CREATE TABLE t ()", "CREATE TABLE t (LIKE u INCLUDING ALL)", "CREATE TABLE t PARTITION OF u FOR VALUES IN (1)", "CREATE TABLE t (a int REFERENCES u ON DELETE SET NULL, b numeric(10, 2) DEFAULT -1)", "GRANT SELECT ON t TO x", "CREATE INDEX i ON t USING gin (a) WHERE b IS NOT NULL", "SET TIME ZONE 'UTC'", "SELECT DISTINCT ON (a) a FROM t ORDER BY a LIMIT 1 OFFSET 2", "CREATE TRIGGER x BEFORE INSERT OR UPDATE ON t FOR EACH ROW EXECUTE FUNCTION f()", "DROP FUNCTION f(int) CASCADE", "DROP TRIGGER x ON t", "UPDATE t SET a = b FROM u WHERE t.id = u.id", "CREATE POLICY p ON t USING (a = 1)", "ALTER TABLE t ADD CONSTRAINT c EXCLUDE USING gist (a WITH &&)", "SET search_path TO a, b"])
+def test_statements_that_are_right(sql):
+    assert len(parse(sql)[0]) == 1
+
+
+def test_custom_rules_see_all_tables_so_far(spark):
+    own = lint.Rule("own", "why", lambda: lint.when(lint.kind("drop") & (F.size("created") == 2), "after two"))
+    files = spark.createDataFrame([("a", "CREATE TABLE s.t (a int); CREATE TABLE u (a int); DROP TABLE t"), ("b", "CREATE TABLE t (a int); DROP TABLE t")], "file_name string, sql string")
+    assert [(r.file_name, r.ord) for r in lint.violations(files, [own]).collect()] == [("a", 2)]
+
+
+def test_totals(spark):
+    rows = spark.createDataFrame([("a", "error"), ("a", "warn"), ("b", "error")], "file_name string, severity string")
+    assert {r.file_name: (r.errors, r.warnings) for r in statements.severity_totals(rows, "file_name").collect()} == {"a": (1, 1), "b": (1, 0), None: (2, 1)}

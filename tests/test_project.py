@@ -151,3 +151,83 @@ def test_stream_of_the_ledger(spark, project):
     q.processAllAvailable()
     q.stop()
     assert [(r.file_name, r.status) for r in spark.table("tail").collect()] == [("a", "applied")]
+
+
+def test_dump_follows_a_drift_checked_apply(project):
+    put(project, A, table("users"))
+    project.dump()
+    assert project.apply(drift_check=True).applied == [A] and project.diff().isEmpty()
+    put(project, B, "CREATE NONSENSE;")
+    assert project.apply(drift_check=True).failed == B and project.diff().isEmpty()
+    put(project, B, table("posts"))
+    before = project.config.path("schema.sql").read_text()
+    assert project.apply().applied == [B] and project.config.path("schema.sql").read_text() == before and not project.diff().isEmpty()
+
+
+def test_cycles_are_reported(project, capsys):
+    put(project, A, f"-- loom:depends-on {B}\nCREATE TABLE a (id BIGINT);")
+    put(project, B, f"-- loom:depends-on {A}\nCREATE TABLE b (id BIGINT);")
+    put(project, C, f"-- loom:depends-on {B}\nCREATE TABLE c (id BIGINT);")
+    record(project, A, B, C, model="dag")
+    tree = project.dependencies()
+    assert tree.cycle_paths() == [[A, B, A]] and {r.node for r in tree.cycles().collect()} == {A, B}
+    assert {r.node: r.depth for r in tree.depths().collect()} == {A: 0, B: 0, C: 1} and "<svg" in tree.html()
+    assert {r.node for r in tree.dependents(A).collect()} == {B, C}
+    root = ["--root", str(project.config.root), "--database", project.database]
+    assert cli.main([*root, "deps"], project.spark) == 1
+    said = capsys.readouterr().out
+    assert f"cycle: {A} -> {B} -> {A}" in said and "3 files, 3 dependencies, 1 leaves" in said
+
+
+def test_blocked_files_of_a_graph(project):
+    put(project, A, "CREATE NONSENSE;")
+    put(project, B, f"-- loom:depends-on {A}\n" + table("posts"))
+    put(project, C, f"-- loom:depends-on {B}\n" + table("follows"))
+    record(project, A, B, C, model="dag")
+    done = project.apply()
+    assert done.failed == A and done.blocked == [B, C] and not done.applied
+
+
+def test_squash_keeps_sources_until_all_is_written(project, monkeypatch):
+    name = "20260101_000000__a b+c%20d.sql"
+    put(project, name, table("users"))
+    put(project, B, table("posts"))
+
+    def fails(*_):
+        raise OSError("no space")
+
+    with monkeypatch.context() as m:
+        m.setattr("ledgerloom.plans.project.manifest_file.save", fails)
+        with pytest.raises(OSError, match="no space"):
+            project.squash()
+    folder = project.config.path("migrations")
+    assert (folder / name).exists() and (folder / B).exists()
+    for p in folder.glob("*_and_*"):
+        p.unlink()
+    made = project.squash()
+    assert sorted(p.name for p in folder.glob("*.sql")) == [made[0].name] and "a b+c%20d" in made[0].name
+
+
+def test_lock_of_a_run_that_ended(project):
+    import socket
+    import subprocess
+
+    ended = subprocess.Popen(["true"])
+    ended.wait()
+    path = project.config.path("ledger.lock")
+    path.write_text(f"{socket.gethostname()} {ended.pid} 2026-01-01")
+    with project.ledger.lock(wait_s=1):
+        assert path.exists()
+    assert not path.exists()
+    path.write_text("elsewhere 1 2026-01-01")
+    with pytest.raises(TimeoutError, match="elsewhere"), project.ledger.lock(wait_s=0.1):
+        pass
+
+
+def test_status_and_lint_say_how_many(project, capsys):
+    put(project, A, "UPDATE users SET a = 1;")
+    root = ["--root", str(project.config.root), "--database", project.database]
+    assert cli.main([*root, "lint"], project.spark) == 1 and cli.main([*root, "status"], project.spark) == 0
+    assert cli.main([*root, "verify"], project.spark) == 1
+    said = capsys.readouterr().out
+    assert "1 errors, 0 warnings" in said and "1 pending" in said and "0 passed, 1 failed" in said and "pending      | " in said

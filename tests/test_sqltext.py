@@ -41,9 +41,15 @@ def test_checksums_of_all_documents(spark, tmp_path):
     rows = list(enumerate([*(sql for sql, _ in CASES), '"a  b" ', "$$ a  -- b $$\n", "$x$ a $$  b $x$ c", '"a b"', None]))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     wanted = {k: None if t is None else hashlib.sha256(sqltext.normalize(t).encode()).hexdigest() for k, t in rows}
-    assert {r.doc_id: r.checksum for r in queries.QUERIES["text_checksum_all"](spark, str(tmp_path)).collect()} == wanted
+    assert {r.doc_id: r.checksum for r in queries.QUERIES["text_checksum"](spark, str(tmp_path)).collect()} == wanted
     of = {}
     for k, c in wanted.items():
         of.setdefault(c, []).append(k)
-    found = {(r.checksum, r.n_files, r.first_file) for r in queries.QUERIES["duplicate_checksums_all"](spark, str(tmp_path)).collect()}
+    found = {(r.checksum, r.n_files, r.first_file) for r in queries.QUERIES["duplicate_checksums"](spark, str(tmp_path)).collect()}
     assert found == {(c, len(k), min(k)) for c, k in of.items() if c and len(k) > 1}
+
+
+def test_kinds_of_tokens():
+    found = list(sqltext.tokens("a;b /* x /* y */ z */ E'\\'' -- end\n$t$ ; $t$"))
+    assert [k for k, _ in found] == ["other", "other", "other", "space", "comment", "space", "quoted", "space", "comment", "space", "quoted"]
+    assert "".join(t for _, t in found) == "a;b /* x /* y */ z */ E'\\'' -- end\n$t$ ; $t$"
