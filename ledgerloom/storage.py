@@ -46,9 +46,19 @@ def importable(spark: SparkSession) -> None:
     context.addPyFile(name)
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A name, not in use yet, for a folder inside the shared one. It goes when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    store, found = _path(spark, path)
+    store.mkdirs(found)  # what isn't there can't be marked
+    store.deleteOnExit(found)
+    store.delete(found, True)
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -84,3 +94,9 @@ def delete(spark: SparkSession, uri: str) -> None:
     """Delete a file by its URI, as Spark names it, with percent codes."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(uri))
     found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, False)
+
+
+def delete_folder(spark: SparkSession, uri: str) -> None:
+    """Delete a folder of the shared one, by its URI as Spark names it."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(uri))
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
