@@ -10,7 +10,8 @@ precision.
 Rotations come from a seed; quantiles and block bounds from SAMPLE vectors, chosen by hash. All vectors are indexed.
 Equal vectors share one entry, with the smallest ids: the k + 1 smallest are all that any result can use, so no group of
 copies makes a block large, and equal queries are searched once. A block with more than BLOCK_ROWS rows expected is
-split by hashed id, and its queries visit all its parts.
+split by hashed id, and its queries visit all its parts; where more than QUERY_ROWS queries are expected to visit a block,
+they are split likewise, and each part of the queries meets all parts of the block.
 
 How wide the window must be depends on the data: where vectors are spread evenly in 64 dimensions, as in the supplied
 tables, near ones are close on no curve, and only a wide one reaches a recall of 0.9 (see README for measurements).
@@ -37,7 +38,7 @@ SAMPLE = 8000
 CURVES, DIMENSIONS, BITS = 12, 6, 5
 #: Blocks of each curve, and how many neighbours a query visits on either side.
 BLOCKS, REACH = 20, 1
-BLOCK_ROWS = 50_000
+BLOCK_ROWS, QUERY_ROWS = 50_000, 20_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -117,13 +118,13 @@ def search(embeddings: DataFrame, is_query: Column, k: int, curves: int = CURVES
     def place(batches, asks: bool):
         for batch in batches:
             x = matrix(batch.column("vector"), d)
-            rows = [r.tobytes() for r in x]
+            rows, entry = [r.tobytes() for r in x], batch.column("entry").to_numpy()
             for c, block in enumerate(fitted.blocks(x, asks)):
                 for step in range(-reach, reach + 1) if asks else (0,):
-                    for share in range(shares) if asks else (None,):
+                    for other in range(shares if asks else ask_shares):
                         to = block + step
                         keep = np.flatnonzero((to >= 0) & (to < blocks))
-                        deal = np.full(len(keep), share) if asks else batch.column("entry").to_numpy()[keep] % shares
+                        deal = other * ask_shares + entry[keep] % ask_shares if asks else entry[keep] % shares * ask_shares + other
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), c), pa.int32()), pa.array(to[keep], pa.int32()), pa.array(deal, pa.int32()), pa.array(np.full(len(keep), asks)), batch.column("ids").take(pa.array(keep)), pa.array([rows[i] for i in keep], pa.binary())], schema=kinds)
 
     def visit(table: pa.Table) -> pa.Table:
@@ -152,10 +153,11 @@ def search(embeddings: DataFrame, is_query: Column, k: int, curves: int = CURVES
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # equal queries ask once, under their smallest id
-    askers = asked.groupBy("vector").agg(F.min("vec_id").alias("asker"))
+    askers = written(asked.groupBy("vector").agg(F.min("vec_id").alias("asker")), "askers")
+    ask_shares = max(1, math.ceil(askers.count() * (2 * reach + 1) / blocks / QUERY_ROWS))
     placed = "curve int, block int, share int, asks boolean, ids array<long>, row binary"
     candidates = entries.select("vector", "ids", "entry").mapInArrow(lambda b: place(b, False), placed)
-    visits = askers.select("vector", F.array("asker").alias("ids"), F.lit(0).cast("long").alias("entry")).mapInArrow(lambda b: place(b, True), placed)
+    visits = askers.select("vector", F.array("asker").alias("ids"), F.xxhash64("vector").alias("entry")).mapInArrow(lambda b: place(b, True), placed)
     met = candidates.union(visits).groupBy("curve", "block", "share").applyInArrow(visit, "asker long, vec_id long, score double")
     best = met.groupBy("asker").agg(F.collect_set(F.struct((-F.col("score")).alias("less"), "vec_id")).alias("all"))
     best = best.withColumn("all", F.array_sort("all"))

@@ -6,13 +6,17 @@ has in each a mean and a deviation (the norm of what is left without the mean).
 
     q.x <= sum over segments of (length * mean(q) * mean(x) + deviation(q) * deviation(x)),
 
-which bounds the distance from below. The bound is worked out with long segments first, then with short ones; only
-what can still beat a query's k-th best score so far is compared in full. A bound allows for rounding; the scores
-themselves are integer sums.
+which bounds the distance from below. The bound is worked out with long segments first, then with shorter ones; only
+what can still beat a query's k-th best score so far is bounded by the next level and at last compared in full. A bound
+allows for rounding; the scores themselves are integer sums.
 
-Components are floor(scale * x). Vectors with one beyond 2^26 in size after scaling take no part, so sums fit 64 bits;
-see `vectors` for the others that don't, unequal lengths and repeated ids. Equal scores are ranked by vec_id. Empty
-tables give empty results.
+Before that each block of candidates is turned to its principal axes, which changes no inner product: where vectors
+are unlike in few directions, the first segments hold nearly all there is and the bounds of long segments decide already.
+Where vectors are spread evenly, only segments of two components tell enough (see README for how many survive).
+
+Components are floor(scale * x), whole numbers; scores are exact whatever their size. A score beyond 64 bits is given as
+the largest or smallest 64-bit number, ranked by its true value. See `vectors` for who takes part, unequal lengths and
+repeated ids. Equal scores are ranked by vec_id. Empty tables give empty results.
 
 Queries are written to the shared folder; each task holds one block of candidates and reads the queries in blocks, so
 memory is bounded on both sides and nothing is broadcast. A task returns k rows a query at most.
@@ -20,7 +24,9 @@ memory is bounded on both sides and nothing is broadcast. A task returns k rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +36,19 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import fresh_folder, importable
 from ledgerloom.llm.vectors import blocks_of, joined, matrix, usable
 
+#: Rows with a component beyond this size are compared one by one, in Python's integers.
 LARGEST = 2.0**26
 CANDIDATES, QUERIES = 16_384, 512
-SEGMENTS = (16, 4)
-#: Survivors beyond this share of a block are compared together, with all others of the block.
+SEGMENTS = (16, 4, 2)
+#: Candidates that are compared at once to begin with.
+FIRST = 64
+#: Up to this share of a block, candidates are bounded one by one; beyond it all at once.
 DENSE = 0.1
+#: Vectors longer than this aren't turned, which would cost more than it saves.
+TURNED = 512
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.binary())])
 
 
 def statistics(x: np.ndarray, length: int) -> np.ndarray:
@@ -50,73 +62,153 @@ def statistics(x: np.ndarray, length: int) -> np.ndarray:
     return np.stack(parts, axis=1) if parts else np.zeros((n, 0))
 
 
+def axes(x: np.ndarray) -> np.ndarray:
+    """The principal axes of the rows, the one with the most first."""
+    d = x.shape[1]
+    if d > TURNED or len(x) < 2:
+        return np.eye(d)
+    return np.linalg.eigh(x.T @ x)[1][:, ::-1]
+
+
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, as whole numbers."""
+    """Inner products of whole numbers up to LARGEST with one query, as whole numbers."""
     if q.size and x.size and np.abs(q).max() * np.abs(x).max() * max(1, x.shape[1]) < 2.0**53:
-        return (x @ q.T).T.astype(np.int64)
-    return (x.astype(np.int64) @ q.astype(np.int64).T).T
+        return (x @ q).astype(np.int64)
+    return x.astype(np.int64) @ q.astype(np.int64)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores, ties by id, each id once."""
-    if len(ids) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        ids, scores = ids[scores >= least], scores[scores >= least]
+    """The k ids of the highest scores, each once, with its highest; ties by id."""
     order = np.lexsort((ids, -scores))
     ids, scores = ids[order], scores[order]
-    return ids[:k], scores[:k]
-
-
-def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, levels: list[tuple[int, np.ndarray]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query_id, vec_ids, scores): the k best of the block for each query. ids: without repeats."""
-    own = ids[None, :] == query_ids[:, None]
-    coarse = statistics(q, levels[0][0]) @ levels[0][1].T
-    slack = 1e-9 * np.abs(coarse).max(initial=1.0)
-    coarse[own] = -np.inf
-    m = min(len(ids), 2 * k)
-    # exact scores of those the coarse bound puts first give a threshold to begin with
-    first = np.argpartition(-coarse, m - 1, axis=1)[:, :m]
-    begin = np.array([np.sort(np.where(own[j, f], np.iinfo(np.int64).min, _exact(q[j : j + 1], x[f])[0]))[max(0, m - k)] if m >= k else np.iinfo(np.int64).min for j, f in enumerate(first)])
-    alive = coarse >= (begin - slack)[:, None]
-    for length, stats in levels[1:]:
-        fine = statistics(q, length)
-        if alive.mean() > DENSE:
-            alive &= fine @ stats.T >= (begin - slack)[:, None]
-        else:
+    while True:
+        some = ids[: 4 * k]
+        _, first = np.unique(some, return_index=True)
+        if len(first) >= k or len(some) == len(ids):
+            first = np.sort(first)[:k]
+            return some[first], scores[first]
+        # more than 3k rows of repeated ids at the top: each id's first row alone
+        _, first = np.unique(ids, return_index=True)
+        first = np.sort(first)
+        ids, scores = ids[first], scores[first]
+
+
+class Block:
+    """Candidates, all within LARGEST, with the statistics of their segments."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.ids, self.x, self.axes = ids, x, axes(x)
+        turned = x @ self.axes
+        self.levels = [(n, statistics(turned, n)) for n in SEGMENTS]
+        self.largest = np.sqrt((x**2).sum(axis=1).max(initial=0.0))
+        self.alike = len(np.unique(ids)) < len(ids)
+        #: Pairs of queries and candidates, and how many are left after each level's bounds.
+        self.alive = np.zeros(1 + len(SEGMENTS), np.int64)
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query_id, vec_ids, scores): the k best of the block for each query."""
+        ids, x = self.ids, self.x
+        turned = q @ self.axes
+        own = ids[None, :] == query_ids[:, None]
+        self.alive[0] += own.size - own.sum()
+        coarse = statistics(turned, self.levels[0][0]) @ self.levels[0][1].T
+        # rounding: of sums of d products of this size at most
+        slack = 1e-12 * (1 + np.sqrt((q**2).sum(axis=1)) * self.largest)
+        begin = np.full(len(q), -np.inf)
+        alive = ~own
+        for level, (length, stats) in enumerate(self.levels):
+            fine = statistics(turned, length)
+            bound = coarse if not level else fine @ stats.T if alive.mean() > DENSE else None
+            if bound is not None and not self.alike:
+                # exact scores of those that the bound puts first raise the threshold
+                m = min(len(ids), FIRST)
+                for j, first in enumerate(np.argpartition(np.where(alive, -bound, np.inf), m - 1, axis=1)[:, :m] if m else ()):
+                    first = first[~own[j, first]]
+                    if len(first) >= k:
+                        begin[j] = max(begin[j], np.partition(_exact(q[j], x[first]), len(first) - k)[len(first) - k])
+            last = level == len(self.levels) - 1
             for j in range(len(q)):
                 some = np.flatnonzero(alive[j])
-                alive[j, some] = stats[some] @ fine[j] >= begin[j] - slack
-    alive &= ~own
-    whole = _exact(q, x) if alive.mean() > DENSE else None
-    for j in range(len(q)):
-        some = np.flatnonzero(alive[j])
-        if len(some):
-            yield (int(query_ids[j]), *_best(ids[some], whole[j, some] if whole is not None else _exact(q[j : j + 1], x[some])[0], k))
+                near = stats[some] @ fine[j] if bound is None else bound[j, some]
+                kept = near >= begin[j] - slack[j]
+                if not last:
+                    alive[j, some] = kept
+                elif kept.any():
+                    yield (int(query_ids[j]), *self.compared(q[j], some[kept], near[kept], begin[j], slack[j], k))
+            if not last:
+                self.alive[1 + level] += alive.sum()
+
+    def compared(self, q: np.ndarray, some: np.ndarray, bound: np.ndarray, least: float, slack: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of `some`, compared in full in the order of their bounds, until no other can be one of them."""
+        order = np.argsort(-bound, kind="stable")
+        some, bound = some[order], bound[order]
+        ids, scores, at, step = self.ids[:0], np.empty(0, np.int64), 0, FIRST
+        while at < len(some) and bound[at] >= least - slack:
+            part = some[at : at + step]
+            ids, scores = _best(np.concatenate([ids, self.ids[part]]), np.concatenate([scores, _exact(q, self.x[part])]), k)
+            if len(ids) == k:
+                least = max(least, scores[-1])
+            at, step = at + len(part), 2 * step
+        self.alive[len(self.levels)] += at
+        return ids, scores
+
+
+def _whole(x: np.ndarray, scale: float) -> list[int]:
+    """floor(scale * x) of doubles of any size."""
+    return [math.floor(Fraction(float(v)) * Fraction(scale)) for v in x]
+
+
+def _beyond(score: int) -> bytes | None:
+    """For scores at the ends of 64 bits or beyond, bytes in the order of their size; 2 * (8 + 1024) bits and more hold
+    products of doubles."""
+    return None if LOW < score < HIGH else (score + (1 << 2399)).to_bytes(300, "big")
+
+
+def _row(query: int, vec: int, score: int) -> dict:
+    return {"query_id": query, "vec_id": vec, "score": min(HIGH, max(LOW, score)), "beyond": _beyond(score)}
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int, scale: float = 256, vector: str = "embedding") -> DataFrame:
     """The k best candidates of each query among all rows but its own: (query_id, rank from 1, vec_id, score)."""
     spark = embeddings.sparkSession
     importable(spark)
-    scaled = usable(embeddings, vector).withColumn("vector", F.transform("vector", lambda x: F.when(F.abs(x * scale) <= LARGEST, F.floor(x * scale).cast("double"))))
-    scaled = scaled.where(F.forall("vector", lambda x: x.isNotNull()))
+    every = usable(embeddings, vector)
     folder = fresh_folder(spark, "queries")
-    scaled.where(is_query).write.parquet(folder)
-    d = scaled.agg(F.max(F.size("vector"))).first()[0] or 0
+    every.where(is_query).write.parquet(folder)
+    d = every.agg(F.max(F.size("vector"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in joined(batches, CANDIDATES):
-            ids, x = table.column("vec_id").to_numpy(), matrix(table.column("vector"), d)
-            if len(np.unique(ids)) < len(ids):  # of an id's rows all stay, equal ones once
-                _, kept = np.unique(np.column_stack([ids.astype(float), x]), axis=0, return_index=True)
-                ids, x = ids[np.sort(kept)], x[np.sort(kept)]
-            levels = [(n, statistics(x, n)) for n in SEGMENTS]
-            for block in blocks_of(folder, QUERIES):
-                found = list(search_block(block.column("vec_id").to_numpy(), matrix(block.column("vector"), d), ids, x, levels, k))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found])), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], schema=FOUND)
-
-    found = scaled.mapInArrow(run, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            raw = matrix(table.column("vector"), d) + 0.0
+            # of an id's rows all stay, equal ones once
+            keys = np.column_stack([table.column("vec_id").to_numpy(), raw.view(np.int64)]) if d else table.column("vec_id").to_numpy()[:, None]
+            _, kept = np.unique(keys, axis=0, return_index=True)
+            ids, raw = table.column("vec_id").to_numpy()[np.sort(kept)], raw[np.sort(kept)]
+            wide = (np.abs(raw) > LARGEST / scale).any(axis=1)
+            block = Block(ids[~wide], np.floor(raw[~wide] * scale))
+            large = [(int(i), _whole(x, scale)) for i, x in zip(ids[wide], raw[wide])]
+            for asked in blocks_of(folder, QUERIES):
+                query_ids, q = asked.column("vec_id").to_numpy(), matrix(asked.column("vector"), d)
+                wide_q = (np.abs(q) > LARGEST / scale).any(axis=1)
+                rows = []
+                if len(block.ids) and not wide_q.all():
+                    for query, vecs, scores in block.search(query_ids[~wide_q], np.floor(q[~wide_q] * scale), k):
+                        rows += [_row(query, int(v), int(s)) for v, s in zip(vecs, scores)]
+                for j, query in enumerate(query_ids.tolist()):
+                    # large numbers on either side: each pair in Python's integers, the k best ids of each query
+                    if wide_q[j] or large:
+                        mine = _whole(q[j], scale)
+                        others = large + ([(int(i), [int(v) for v in x]) for i, x in zip(block.ids, block.x)] if wide_q[j] else [])
+                        best: dict[int, int] = {}
+                        for vec, x in others:
+                            if vec != query:
+                                score = sum(a * b for a, b in zip(mine, x))
+                                best[vec] = max(score, best.get(vec, score))
+                        rows += [_row(query, v, s) for v, s in sorted(best.items(), key=lambda r: (-r[1], r[0]))[:k]]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=FOUND)
+
+    found = every.mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")
+    best = found.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "beyond")).alias("top")).select("query_id", "vec_id", "top.*")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "vec_id"))
     return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
