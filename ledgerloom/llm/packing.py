@@ -143,7 +143,7 @@ def plan_for(histogram: dict[int, int], units: int) -> Plan:
 
 def _rests(part: TokenPart, capacity: int, grain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each document of a part: its full pieces, what is left, and that rest's class (0: none)."""
-    length = np.diff(part.offsets)
+    length = np.diff(part.offsets[:])
     full, rest = length // capacity, length % capacity
     return full, rest, -(-rest // grain)
 

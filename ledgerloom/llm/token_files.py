@@ -2,18 +2,19 @@
 
 A data set is a folder of parts, in ascending doc_id order from part to part and within each part:
 
-* `part-NNNNN.tokens`: all ids of the part's documents, one after another, little-endian unsigned integers of
+* `part-NNNNN-TRY.tokens`: all ids of the part's documents, one after another, little-endian unsigned integers of
   `width` bytes (2 where the vocabulary fits, else 4);
-* `part-NNNNN.offsets`: 64-bit integers, where each document begins in the part, and at last the part's length;
-* `part-NNNNN.docs`: the 64-bit doc_id of each document (NULL_ID for null);
+* `part-NNNNN-TRY.offsets`: 64-bit integers, where each document begins in the part, and at last the part's length;
+* `part-NNNNN-TRY.docs`: the 64-bit doc_id of each document (NULL_ID for null);
 * `manifest.json`: width, and for each part its files, numbers of documents and tokens, and its base: how many
   tokens the parts before it hold, a prefix sum over the parts. A document's global offset is base + offset.
 
 Empty and null texts give a document with the end id alone; repeated rows are written as often as they come; equal
 doc_ids are ordered by text; an empty table gives a manifest without parts. Other columns are ignored.
 
-Parts are written under a temporary name and renamed when they are whole, so a task that runs again after its
-executor is lost replaces its part by the same bytes. The driver sees one row for each part.
+Each try of a task writes files of its own, and the manifest, which is written last, names those of the try whose row
+came back; so nothing is renamed or replaced, and what a lost executor left is never read. The driver sees one row for
+each part. Readers map files of local stores into memory; of other stores they read the ranges they need.
 """
 
 from __future__ import annotations
@@ -45,12 +46,12 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     end = np.array([end_id], dtype=coder.kind).tobytes()
     store, root = fs.FileSystem.from_uri(folder)
     part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-    name = f"{root}/part-{part:05d}"
+    name = f"part-{part:05d}-{attempt}"
     files = {}
     buffer, held, at, offsets, ids, n, first = [], 0, 0, [0], [], 0, None
     for batch in batches:
         if not files and batch.num_rows:
-            files = {kind: store.open_output_stream(f"{name}.{kind}.{attempt}") for kind in ("tokens", "offsets", "docs")}
+            files = {kind: store.open_output_stream(f"{root}/{name}.{kind}") for kind in ("tokens", "offsets", "docs")}
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             raw = coder.encode(text.as_py())
             buffer += raw, end
@@ -72,10 +73,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     files["tokens"].write(b"".join(buffer))
     files["offsets"].write(np.array(offsets, "<i8").tobytes())
     files["docs"].write(np.array(ids, "<i8").tobytes())
-    for kind, stream in files.items():
+    for stream in files.values():
         stream.close()
-        store.move(f"{name}.{kind}.{attempt}", f"{name}.{kind}")
-    yield pa.RecordBatch.from_pylist([{"part": part, **{k: f"part-{part:05d}.{k}" for k in files}, "first_id": first, "n_docs": n, "n_tokens": at}], schema=pa.schema([("part", pa.int32()), ("tokens", pa.string()), ("offsets", pa.string()), ("docs", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+    yield pa.RecordBatch.from_pylist([{"part": part, **{k: f"{name}.{k}" for k in files}, "first_id": first, "n_docs": n, "n_tokens": at}], schema=pa.schema([("part", pa.int32()), ("tokens", pa.string()), ("offsets", pa.string()), ("docs", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
 
 def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int, ordered: bool = True, partitions: int | None = None) -> dict:
@@ -102,12 +102,31 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int,
     return manifest
 
 
-def _mapped(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """The whole file as an array: mapped where the store is local, else read by ranges into memory."""
+class Ranges:
+    """A file of numbers in a store that can't be mapped: slices are read when they are asked for, BUFFERED numbers at least."""
+
+    def __init__(self, store: fs.FileSystem, path: str, kind: str) -> None:
+        self.file, self.kind = store.open_input_file(path), np.dtype(kind)
+        self.size, self.begin, self.held = self.file.size() // self.kind.itemsize, 0, np.empty(0, kind)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: int | slice) -> np.ndarray:
+        if not isinstance(at, slice):
+            return self[int(at) : int(at) + 1][0]
+        a, b, _ = at.indices(self.size)
+        if a < self.begin or b > self.begin + len(self.held):
+            n = max(b - a, BUFFERED)
+            self.begin, self.held = a, np.frombuffer(self.file.read_at(min(n, self.size - a) * self.kind.itemsize, a * self.kind.itemsize), self.kind)
+        return self.held[a - self.begin : b - self.begin]
+
+
+def _mapped(store: fs.FileSystem, path: str, kind: str) -> np.ndarray | Ranges:
+    """The file as an array, mapped where the store is local."""
     if isinstance(store, fs.LocalFileSystem):
         return np.memmap(path, dtype=kind, mode="r") if store.get_file_info(path).size else np.empty(0, kind)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+    return Ranges(store, path, kind)
 
 
 class TokenPart:

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyarrow import fs
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import packing, piece_bpe, token_files
@@ -110,9 +111,20 @@ def test_packing_places_each_id_once(spark, docs, prose, capacity):
     for r in rows:
         sequences[r.sequence_id].append((r.offset, r.length))
         total += r.length
-        if r.doc_id == 300:
-            ids = np.array([*library.encode(texts[-1][1], add_special_tokens=False).ids, 2], "<u4")
-            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    # each document's pieces cover its ids, each once
+    of = defaultdict(list)
+    for r in rows:
+        of[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    encoded = {doc: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for doc, t in texts}
+    for doc, pieces in of.items():
+        if doc != 5:
+            at = 0
+            for start, length, crc, tokens in sorted(pieces):
+                assert start == at and length > 0 and tokens == len(encoded[doc]) and crc == zlib.crc32(encoded[doc][start : start + length].tobytes())
+                at += length
+            assert at == len(encoded[doc])
+    twice = {zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for doc, t in texts if doc == 5}
+    assert {crc for _, _, crc, _ in of[5]} == twice and all(start == 0 for start, _, _, _ in of[5])
     assert total == sum(w[2] for w in want) and sorted(sequences) == list(range(len(sequences)))
     for pieces in sequences.values():
         at = 0
@@ -139,3 +151,22 @@ def test_best_pattern_is_the_best():
     values, sizes = np.array([0.4, 0.55, 0.7]), np.array([3, 4, 5])
     best = max((a * 0.4 + b * 0.55 + c * 0.7) for a in range(5) for b in range(4) for c in range(3) if 3 * a + 4 * b + 5 * c <= 12)
     assert packing.best_pattern(values, sizes, 12)[0] == pytest.approx(best)
+
+
+def test_ranges_of_files_that_cannot_be_mapped(tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BUFFERED", 7)
+    numbers = np.arange(100, dtype="<u4") * 3
+    (tmp_path / "x").write_bytes(numbers.tobytes())
+    found = token_files._mapped(fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "x", "<u4")
+    assert isinstance(found, token_files.Ranges) and len(found) == 100 and found[40] == 120 and (found[:] == numbers).all()
+    rnd = random.Random(1)
+    for _ in range(200):
+        a = rnd.randint(0, 100)
+        b = rnd.randint(a, 100)
+        assert found[a:b].tolist() == numbers[a:b].tolist()
+
+
+def test_models_that_do_more_than_merge_are_refused(monkeypatch):
+    monkeypatch.setattr(piece_bpe.PieceModel, "encode", lambda self, text: [1])
+    with pytest.raises(ValueError, match="merging alone"):
+        piece_bpe.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
