@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.storage import shared_folder
-
-REPOSITORY = str(Path(__file__).resolve().parents[2])
+from ledgerloom.storage import delete_folder, importable, scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,16 +19,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers that start later import this package, whatever the driver's directory is."""
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if REPOSITORY not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([REPOSITORY, *filter(None, paths)])
-
-
 def fresh_folder(spark: SparkSession, what: str) -> str:
-    """A name, not in use yet, for a folder inside the shared one."""
-    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A name, not in use yet, for a folder inside the shared one. It goes when the application ends."""
+    return scratch(spark, what)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -43,6 +32,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of `written` tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete_folder(df.sparkSession, folder)
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, `rows` rows at a time: what is made of them as Python's objects stays small."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A to Z alone."""
     return F.translate(text, UPPER, LOWER)

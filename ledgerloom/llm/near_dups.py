@@ -6,10 +6,11 @@
    least `threshold_matches` (five standard deviations below) are asked for. Pairs of values are ranked by how many
    classes hold them; two classes with so many in common meet within their rarest COORDINATES - threshold + 1 (prefix
    filter), so the others aren't posted, nor are values that only one class has (skipped in merging).
-3. In each posting list a pivot stands for the rest: of its classes the one whose values are the most common. Every other
-   class of the list with NEAR matches or more is compared with the pivot alone, on full sets. Those whose matches with
-   it don't reach the threshold go on to a next pivot of the list; after ROUNDS, and in lists of at most FEW, the pairs
-   that remain are taken themselves, if their signatures match.
+3. In each posting list a pivot stands for the rest: of its classes the one whose values are the most common. Classes
+   whose matches with it reach the threshold (core) need no other pivot of the list: a class that matches one of them
+   has 2 * threshold - COORDINATES matches with the pivot at least, and all that have so many are compared with the
+   pivot, on full sets. The others go on to next pivots, four times as many in each round. In lists of at most FEW the
+   pairs are taken themselves, if their signatures match.
 4. Two classes a, b of a pivot p that are not both linked to it, and of which one reaches the threshold with it, may be
    linked to each other. With e(x) the symmetric
    difference of x and p, |a - b| + |b - a| = |e(a)| + |e(b)| - 2 |e(a) and e(b)|, so they must share many of their
@@ -26,22 +27,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import importable, written
+from ledgerloom.llm.common import discard, importable, in_slices, written
 from ledgerloom.llm.shingles import permutations, shingle_set, signature
 from ledgerloom.operators.graph import components
 
 COORDINATES = 40
-FEW, ROUNDS = 6, 3
-#: Matches with the pivot from which a class is compared with it: what a link to one at the threshold leaves at least.
-NEAR = 10
-
+#: Lists of at most so many classes are taken pair by pair; round k takes PIVOTS to the power of k pivots of a longer one.
+FEW, PIVOTS = 6, 4
+#: Sets that Python holds at once, beside the Arrow batch that brings them.
+SLICE = 200
 
 def threshold_matches(percent: int, k: int = COORDINATES) -> int:
     t = percent / 100
@@ -69,7 +71,7 @@ def _scan(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """The sets of classes, from the texts of documents that have them; a row of another set is left out."""
-    for batch in batches:
+    for batch in in_slices(batches, SLICE):
         nodes, sets = [], []
         for node, h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("node", "h1", "h2", "text"))):
             raw = shingle_set(text, words).tobytes()
@@ -85,7 +87,7 @@ _COMPARED = pa.schema([("pivot", pa.int64()), ("node", pa.int64()), ("pivot_n",
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Differences of classes from their pivots: first what only the class has, then what only the pivot has, each by hash."""
-    for batch in batches:
+    for batch in in_slices(batches, SLICE):
         rows = []
         for pivot, node, ours, theirs, grouped, core in zip(*(batch.column(c).to_pylist() for c in ("pivot", "node", "pivot_set", "node_set", "grouped", "core"))):
             p, x = np.frombuffer(ours, np.uint64), np.frombuffer(theirs, np.uint64)
@@ -114,33 +116,38 @@ def _postings(classes: DataFrame, prefix: int) -> DataFrame:
     return ranked.select("node", "common", F.explode("first.token").alias("token"))
 
 
-def _candidates(classes: DataFrame, least: int) -> DataFrame:
+def _candidates(classes: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """(pivot, node, grouped, core) to compare on full sets; grouped: the pair is one of a list with a pivot; core: its
-    signatures match, so the node needs no other pivot of that list."""
+    signatures match, so the node needs no other pivot of that list. Also the tables that it comes from."""
+    near = max(1, 2 * least - COORDINATES)
     left = written(_postings(classes, COORDINATES - least + 1), "postings")
     sig = written(classes.join(left.select("node").distinct(), "node", "left_semi").select("node", "sig"), "signatures")
-    pairs = None
-    for at in range(ROUNDS + 1):
-        lists = left.groupBy("token").agg(F.max(F.struct("common", (-F.col("node")).alias("less"))).alias("top"), F.count("*").alias("held"))
-        small = lists.where((F.col("held") > 1) & ((F.col("held") <= FEW) | F.lit(at == ROUNDS))).select("token")
-        a = left.join(small, "token").select("token", "node")
-        b = a.select(F.col("token").alias("other_token"), F.col("node").alias("other"))
-        met = a.join(b, (F.col("token") == F.col("other_token")) & (F.col("node") < F.col("other"))).select("node", "other").distinct()
-        met = met.join(sig, "node").join(sig.select(F.col("node").alias("other"), F.col("sig").alias("other_sig")), "other").where(_matches("sig", "other_sig") >= least)
-        direct = met.select(F.col("node").alias("pivot"), F.col("other").alias("node"), F.lit(False).alias("grouped"), F.lit(True).alias("core"))
-        pairs = direct if pairs is None else pairs.union(direct)
-        if at == ROUNDS:
-            break
+    used, found, at = [sig, left], [], 0
+    while True:
+        lists = written(left.groupBy("token").agg(F.max(F.struct("common", (-F.col("node")).alias("less"))).alias("top"), F.count("*").alias("held")).where("held > 1"), "lists")
+        used.append(lists)
+        small = left.join(lists.where(F.col("held") <= FEW).select("token"), "token").select("token", "node")
+        other = small.select(F.col("token").alias("other_token"), F.col("node").alias("other"))
+        direct = small.join(other, (F.col("token") == F.col("other_token")) & (F.col("node") < F.col("other"))).select(F.col("node").alias("pivot"), F.col("other").alias("node"), F.lit(False).alias("grouped"))
         large = lists.where(F.col("held") > FEW).select("token", (-F.col("top.less")).alias("pivot"))
-        stars = left.join(large, "token").where("node <> pivot")
-        met = stars.select("pivot", "node").distinct().join(sig, "node").join(sig.select(F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        met = written(met.select("pivot", "node", _matches("sig", "pivot_sig").alias("matches")), "stars")
-        pairs = pairs.union(met.where(F.col("matches") >= NEAR).select("pivot", "node", F.lit(True).alias("grouped"), (F.col("matches") >= least).alias("core")))
-        rest = stars.join(met.where(F.col("matches") < least).select("pivot", "node"), ["pivot", "node"])
-        left = written(rest.select("node", "common", "token"), "postings")
+        if at:
+            order = Window.partitionBy("token").orderBy(F.desc("common"), "node")
+            large = left.join(large.select("token"), "token").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS**at).select("token", F.col("node").alias("pivot"))
+        stars = written(left.join(large, "token").where("node <> pivot"), "stars")
+        pairs = direct.union(stars.select("pivot", "node", F.lit(True))).groupBy("pivot", "node").agg(F.max("grouped").alias("grouped"))
+        pairs = pairs.join(sig, "node").join(sig.select(F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
+        pairs = written(pairs.select("pivot", "node", "grouped", _matches("sig", "pivot_sig").alias("matches")), "matches")
+        found.append(pairs.where((F.col("matches") >= least) | (F.col("grouped") & (F.col("matches") >= near))))
+        used += [stars, pairs]
+        rest = stars.join(pairs.select("pivot", "node", "matches"), ["pivot", "node"])
+        if at:
+            rest = rest.groupBy("token", "node", "common").agg(F.max("matches").alias("matches")).join(large.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti")
+        rest = rest.where(F.col("matches") < least).select("node", "common", "token")
+        left, at = written(rest, "postings"), at + 1
+        used.append(left)
         if left.isEmpty():
-            break
-    return pairs.groupBy("pivot", "node").agg(F.max("grouped").alias("grouped"), F.max("core").alias("core"))
+            every = reduce(DataFrame.union, found)
+            return every.groupBy("pivot", "node").agg(F.max("grouped").alias("grouped"), F.bool_or(F.col("matches") >= least).alias("core")), used
 
 
 _BITS = tuple(f"bits{k}" for k in range(4))
@@ -158,9 +165,10 @@ def _within(compared: DataFrame, percent: int) -> DataFrame:
     most = r * F.col("n") * (1 + 100 / percent)
     far = r * (percent / 100 * F.col("n") + F.col("pivot_n"))
     group = compared.where("differences is not null").withColumn("d", F.size("differences"))
-    widest = group.where("core").groupBy("pivot").agg(F.max("d").alias("widest"))
-    group = group.join(widest, "pivot").where(F.col("core") | (F.col("d") - most <= F.col("widest") + 1e-6))
-    group = written(group.join(group.where("not linked").select("pivot").distinct(), "pivot", "left_semi"), "groups")
+    # a row a pivot, first, so that the join with its many rows is one that Spark can split or broadcast
+    pivots = group.groupBy("pivot").agg(F.max(F.when(F.col("core"), F.col("d"))).alias("widest"), F.bool_or(~F.col("linked")).alias("apart"))
+    pivots = written(pivots.where("apart and widest is not null").select("pivot", "widest"), "pivots")
+    group = written(group.join(pivots, "pivot").where(F.col("core") | (F.col("d") - most <= F.col("widest") + 1e-6)), "groups")
     # differences that a single class has are shared with none; the others are posted, the rarest first
     each = group.select("pivot", "node", F.explode("differences").alias("token"))
     shared = each.groupBy("pivot", "token").agg(F.count("*").alias("held")).where("held > 1")
@@ -202,18 +210,21 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     classes = with_id.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("sig", sig), "classes")
     least = threshold_matches(percent)
-    pairs = written(_candidates(classes, least), "pairs")
+    found, used = _candidates(classes, least)
+    pairs = written(found, "pairs")
+    discard(*used)
     involved = pairs.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(classes.select("node", "first_doc", "h1", "h2"), "node")
     texts = docs.join(involved, docs["doc_id"] == involved["first_doc"]).select("node", "h1", "h2", "text")
     sets = written(texts.mapInArrow(lambda b: _sets(b, words), "node long, shingles binary").dropDuplicates(["node"]), "sets")
     two = pairs.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_set")), "pivot").join(sets.select("node", F.col("shingles").alias("node_set")), "node")
     compared = written(two.select("pivot", "node", "pivot_set", "node_set", "grouped", "core").mapInArrow(lambda b: _compare(b, percent), COMPARED), "compared")
+    discard(sets, pairs)
     links = compared.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(_within(compared, percent))
     # of a doc_id that comes with several sets, all classes belong together
     several = with_id.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("sets")).where("sets > 1").select("doc_id")
     theirs = with_id.join(several, "doc_id").join(classes.select("h1", "h2", "node"), ["h1", "h2"])
     repeats = theirs.groupBy("doc_id").agg(F.min("node").alias("a")).join(theirs.select("doc_id", F.col("node").alias("b")), "doc_id").select("a", "b")
-    found = components(links.union(repeats))
+    found = components(links.union(repeats), local=0)
     named = found.join(classes.select("node", "first_doc"), "node")
     named = named.join(named.groupBy("component").agg(F.min("first_doc").alias("component_id")), "component").select("node", "component_id")
     by_class = classes.select("h1", "h2", "node", "first_doc").join(named, "node", "left").select("h1", "h2", F.coalesce("component_id", "first_doc").alias("component_id"))
