@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import importable, written
+from ledgerloom.llm.common import importable, in_slices, written
 
 THRESHOLD = 0.3
 SAMPLE, PAIRS = 20_000, 60_000
 SEED = 11
+#: Texts whose features Python holds at once.
+SLICE = 500
 #: Words of a stretch in which distinct ones are counted.
 WINDOW = 400
 
@@ -126,58 +128,57 @@ def learn(x: np.ndarray, good: np.ndarray) -> Ranking | None:
     return Ranking(w, mean, scale, float(cut), 8 / max(spread, 1e-9))
 
 
-def measured(documents: DataFrame) -> DataFrame:
-    """(doc_id, features) of all documents, by a scan, written to the shared folder."""
-    importable(documents.sparkSession)
+def fitted(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Ranking | None:
+    """Learn from the labelled documents that are not held out: only their texts are measured."""
+    own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+    own = own.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
+    chosen = written(own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "label"), "chosen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, SLICE):
             rows = [features(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], schema=pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.float64()))]))
-
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(docs.mapInArrow(run, "doc_id long, features array<double>"), "features")
-
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], names=["id", "label", "features"])
 
-def fitted(measures: DataFrame, labels: DataFrame, label: str = "quality") -> Ranking | None:
-    """Learn from the labelled documents that are not held out."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    own = own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "label")
-    rows = measures.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("features").alias("features")).orderBy("doc_id").toArrow()
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
+    rows = texts.mapInArrow(run, "id long, label int, features array<double>").groupBy("id").agg(F.min("label").alias("label"), F.min("features").alias("features")).orderBy("id").toArrow()
     if not rows.num_rows:
         return None
     x = np.array(rows.column("features").to_pylist(), dtype=float)
     return learn(x, rows.column("label").to_numpy() == 1)
 
 
-def scored(measures: DataFrame, ranking: Ranking | None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of all measured documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array(batch.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-            s = ranking.score(x) if ranking else np.full(len(x), 0.5)
-            out = [is_held_out(d) for d in batch.column("doc_id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.bool_()), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())]))
-
-    return measures.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+def scores(texts: pa.Array, ranking: Ranking | None) -> np.ndarray:
+    x = np.array([features(t.as_py()) for t in texts], dtype=float).reshape(-1, len(FEATURES))
+    return ranking.score(x) if ranking else np.full(len(x), 0.5)
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """`documents` (doc_id, text), `labels` (doc_id, quality): rows (doc_id, held_out, score, predicted)."""
-    measures = measured(documents)
-    return scored(measures, fitted(measures, labels))
+    importable(documents.sparkSession)
+    ranking = fitted(documents, labels)
+    fields = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, SLICE):
+            s = scores(batch.column("text"), ranking)
+            out = [is_held_out(d) for d in batch.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.bool_()), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], schema=fields)
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `documents`, all columns, whose texts are predicted to be good. Texts are measured again on the way."""
-    ranking = fitted(measured(documents), labels)
+    """The rows of `documents`, all columns, whose texts are predicted to be good: all of them without labels of both
+    kinds. One scan, which nothing is shuffled for."""
+    importable(documents.sparkSession)
+    ranking = fitted(documents, labels)
     if ranking is None:
         return documents
+    at = [c.lower() for c in documents.columns].index("text")
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        return texts.map(lambda t: bool(ranking.score(features(t)[None, :])[0] >= THRESHOLD))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, SLICE):
+            yield batch.filter(pa.array(scores(batch.column(at).cast(pa.string()), ranking) >= THRESHOLD))
 
-    return documents.where(good(F.col("text").cast("string")))
+    return documents.mapInArrow(run, documents.schema)
