@@ -10,8 +10,9 @@ repeated if a window that holds it is that of an earlier (doc_id, place) too: ex
    with their extent, and only the first window of each such chain goes on.
 2. For the rest, the hashes of the windows of each minimiser are taken from the texts.
 3. They are dealt out by run and taken in the order of document and place: a window seen before is a repeat.
-4. A run with more than STRETCH suffixes is dealt out to several shares by document. Each finds repeats by itself and
-   hands on the windows it met first; these are dealt out by window, where there is one from each share at most.
+4. A run with more than STRETCH suffixes is dealt out to several shares by document and place. Each finds repeats by
+   itself and hands on the windows it met first, packed to as many parts, by window, as there are shares; a part has one
+   row from each share and finds the repeats among them.
 
 The windows' extents meet, so a long passage is covered by several that overlap; they are merged. The copy in the
 smallest doc_id (then the smallest place) stays: every word that goes has an earlier copy that does not.
@@ -28,13 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import importable, written
+from ledgerloom.llm.common import columns, importable, in_slices, written
 from ledgerloom.llm.shingles import mixed, windows, word_hashes, words_of
 
 LEAST, GRAM = 50, 20
+#: Texts that Python holds at once, beside the Arrow batch that brings them.
+SLICE = 500
 #: Suffixes of one run that a share gets, about.
 STRETCH = 2000
 
@@ -106,7 +109,7 @@ def anchors_of(text: str | None) -> tuple[np.ndarray, ...]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches, SLICE):
         docs, rows = [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             rows.append(anchors_of(text.as_py()))
@@ -116,13 +119,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, _ANCHOR.types)], schema=_ANCHOR)
 
 
-_SUFFIX = pa.schema([("gram", pa.int64()), ("share", pa.int32()), ("split", pa.bool_()), ("windows", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32())])
-SUFFIX = "gram long, share int, split boolean, windows binary, doc_id long, start int"
+_SUFFIX = pa.schema([("gram", pa.int64()), ("share", pa.int32()), ("shares", pa.int32()), ("windows", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32())])
+SUFFIX = "gram long, share int, shares int, windows binary, doc_id long, start int"
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows of the wanted minimisers, the first of which begins at `start`."""
-    for batch in batches:
+    for batch in in_slices(batches, SLICE):
         rows = []
         for doc, text, anchors in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("anchors")):
             runs = windows(word_hashes(words_of(text.as_py())).astype(np.uint64), GRAM)
@@ -130,7 +133,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a in anchors.as_py():
                 k = a["place"]
                 if k < len(grams) and grams[k] == a["gram"]:
-                    rows.append({"gram": a["gram"], "share": a["share"], "split": a["split"], "windows": whole[k - a["high"] : k - a["low"] + 1].tobytes(), "doc_id": doc, "start": k - a["high"]})
+                    rows.append({"gram": a["gram"], "share": a["share"], "shares": a["shares"], "windows": whole[k - a["high"] : k - a["low"] + 1].tobytes(), "doc_id": doc, "start": k - a["high"]})
             if len(rows) > 5000:
                 yield pa.RecordBatch.from_pylist(rows, schema=_SUFFIX)
                 rows = []
@@ -138,30 +141,66 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema=_SUFFIX)
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("first_doc", pa.int64()), ("window", pa.int64())])
-FOUND = "doc_id long, start int, n int, first_doc long, window long"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("first_doc", pa.int64()), ("gram", pa.int64()), ("part", pa.int32()), ("firsts", pa.binary())])
+FOUND = "doc_id long, start int, n int, first_doc long, gram long, part int, firsts binary"
+
+
+def _handed_on(gram: int, shares: int, seen: dict[int, tuple[int, int]]) -> Iterator[dict]:
+    """The windows that a share of a split run met first, by part: three numbers each (window, document, place)."""
+    rows = np.array([(w, d, k) for w, (d, k) in seen.items()], dtype=np.int64).reshape(-1, 3)
+    part = mixed(rows[:, 0].view(np.uint64)) % np.uint64(shares)
+    for p in np.unique(part):
+        yield {"gram": gram, "part": int(p), "firsts": rows[part == p].tobytes()}
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats among the suffixes of a run's share, in order, and the windows met first (n = 0) of runs that are split."""
-    of, seen = None, {}
+    """Repeats among the suffixes of a run's share, in order; of runs that are split also the windows met first, packed."""
+    of, many, seen = None, 1, {}
     for batch in batches:
         out = []
-        for gram, share, split, raw, doc, start in zip(*(c.to_pylist() for c in batch.columns)):
+        for gram, share, shares, raw, doc, start in zip(*(c.to_pylist() for c in batch.columns)):
             if (gram, share) != of:
-                of, seen = (gram, share), {}
+                if many > 1:
+                    out += _handed_on(of[0], many, seen)
+                of, many, seen = (gram, share), shares, {}
             again, firsts = [], []
             for k, window in enumerate(np.frombuffer(raw, np.int64).tolist(), start):
                 first = seen.setdefault(window, (doc, k))
                 if first != (doc, k):
                     again.append(k)
                     firsts.append(first[0])
-                elif split:
-                    out.append((doc, k, 0, doc, window))
             if again:
-                out.append((doc, again[0], again[-1] - again[0] + LEAST, min(firsts), None))
+                out.append({"doc_id": doc, "start": again[0], "n": again[-1] - again[0] + LEAST, "first_doc": min(firsts)})
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FOUND.types)], schema=_FOUND)
+            yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
+    if many > 1:
+        yield pa.RecordBatch.from_pylist(list(_handed_on(of[0], many, seen)), schema=_FOUND)
+
+
+_MORE = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("first_doc", pa.int64())])
+
+
+def _between_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeats among the windows that the shares of a run met first: rows of (gram, part) come one after another."""
+    of, held = None, []
+
+    def found() -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(b"".join(held), np.int64).reshape(-1, 3)
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        new = np.append(True, rows[1:, 0] != rows[:-1, 0])
+        first = rows[np.flatnonzero(new)[np.cumsum(new) - 1], 1]
+        again = ~new
+        yield pa.RecordBatch.from_arrays([pa.array(rows[again, 1]), pa.array(rows[again, 2].astype(np.int32)), pa.array(np.full(again.sum(), LEAST, np.int32)), pa.array(first[again])], schema=_MORE)
+
+    for batch in batches:
+        for gram, part, firsts in zip(batch.column("gram").to_pylist(), batch.column("part").to_pylist(), batch.column("firsts")):
+            if (gram, part) != of:
+                if held:
+                    yield from found()
+                of, held = (gram, part), []
+            held.append(firsts.as_py())
+    if held:
+        yield from found()
 
 
 def repeats(documents: DataFrame) -> DataFrame:
@@ -174,15 +213,15 @@ def repeats(documents: DataFrame) -> DataFrame:
     # a table of its own, so that both sides of the join are dealt out anew and a frequent run's rows can be split
     twice = written(anchors.groupBy("gram").agg(F.count("*").alias("held")).where("held > 1"), "frequent")
     shares = F.ceil(F.col("held") / STRETCH)
-    dealt = anchors.join(twice, "gram").select("doc_id", F.struct("place", "gram", "low", "high", F.pmod(F.xxhash64("doc_id"), shares).cast("int").alias("share"), (shares > 1).alias("split")).alias("anchor"))
+    dealt = anchors.join(twice, "gram").select("doc_id", F.struct("place", "gram", "low", "high", F.pmod(F.xxhash64("doc_id", "place"), shares).cast("int").alias("share"), shares.cast("int").alias("shares")).alias("anchor"))
     wanted = dealt.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     suffixes = docs.join(wanted, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_suffixes, SUFFIX)
     found = written(suffixes.repartition("gram", "share").sortWithinPartitions("gram", "share", "doc_id", "start").mapInArrow(_neighbours, FOUND), "repeats")
-    first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("window"))
-    more = found.where("n = 0").withColumn("first", first).where(F.struct("doc_id", "start") != F.col("first"))
-    columns = ("doc_id", "start", "n", "first_doc")
+    handed_on = found.where("part is not null").select("gram", "part", "firsts").repartition("gram", "part").sortWithinPartitions("gram", "part")
+    more = handed_on.mapInArrow(_between_shares, "doc_id long, start int, n int, first_doc long")
+    names = ("doc_id", "start", "n", "first_doc")
     within = scanned.where("n > 0").select("doc_id", F.col("place").alias("start"), "n", F.col("doc_id").alias("first_doc"))
-    return within.union(found.where("n > 0").select(*columns)).union(more.select("doc_id", "start", F.lit(LEAST), F.col("first.doc_id")))
+    return within.union(found.where("part is null").select(*names)).union(more)
 
 
 def passages(documents: DataFrame) -> DataFrame:
@@ -216,7 +255,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """`documents`, all columns, with repeated passages cut out of the texts; n_chars, where there is one, follows."""
-    spans = passages(documents).groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = passages(documents).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     @F.pandas_udf("string")
     def trimmed(texts, spans):
@@ -224,8 +263,10 @@ def without_repeats(documents: DataFrame) -> DataFrame:
 
         return pd.Series([t if s is None or t is None else cut(t, [(x["start"], x["n"]) for x in s]) for t, s in zip(texts, spans)])
 
-    found = documents.join(spans, F.col("doc_id").cast("long") == F.col("of_doc"), "left")
-    changed = found.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(trimmed(F.col("text").cast("string"), F.col("spans"))))
+    # rows go along as one struct, so no name of theirs can clash
+    rows = documents.select(F.struct(*columns(documents)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = rows.join(spans, "doc_id", "left").withColumn("cut", F.when(F.col("spans").isNotNull(), trimmed(F.when(F.col("spans").isNotNull(), F.col("text")), "spans")))
+    row = F.col("row").withField("text", F.col("cut").cast(documents.schema["text"].dataType))
     if "n_chars" in documents.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return changed.select(*documents.columns)
+        row = row.withField("n_chars", F.length("cut").cast(documents.schema["n_chars"].dataType))
+    return found.select(F.when(F.col("spans").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
