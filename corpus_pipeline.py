@@ -22,9 +22,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8)."""
+    """One document, that of the smallest doc_id, of each group of near copies (five words, 0.8). Rows of one doc_id are
+    one document: they stay or go together. Those without a doc_id stay."""
     found = near_dups.near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("copy")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("copy"), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("long") == found["copy"], "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
