@@ -298,3 +298,16 @@ add(
     "SELECT CAST(c_custkey AS VARCHAR) AS node FROM customer WHERE c_custkey BETWEEN 21 AND 29",
     lambda spark, d: _tree(spark, d).dependents("20"),
 )
+_ROOTED = "x AS (SELECT c_custkey AS k, CASE WHEN c_custkey - c_custkey % 10 IN (SELECT c_custkey FROM customer) THEN c_custkey - c_custkey % 10 ELSE c_custkey - c_custkey % 10 + 1 END AS root FROM customer)"
+add(
+    "script_tree",
+    f"""WITH {_ROOTED} SELECT CAST(row_number() OVER (ORDER BY CAST(root AS VARCHAR), k) - 1 AS INTEGER) AS pos,
+    CASE WHEN k = root THEN '' ELSE repeat('    ', CAST(k - root - 1 AS INTEGER)) || '└── ' END || k AS line FROM x""",
+    lambda spark, d: spark.createDataFrame(list(enumerate(_tree(spark, d).tree())), "pos int, line string"),
+)
+add(
+    "script_trunk",
+    """WITH s AS (SELECT CAST(min(CAST(c_custkey AS VARCHAR)) AS BIGINT) AS k FROM customer WHERE c_custkey % 10 = 9 AND c_custkey - 9 IN (SELECT c_custkey FROM customer))
+    SELECT CAST(k - n AS VARCHAR) AS node, CAST(n AS INTEGER) AS step FROM s, range(10) t(n)""",
+    lambda spark, d: spark.createDataFrame([(n, k) for k, n in enumerate(_tree(spark, d).trunk())], "node string, step int"),
+)

@@ -112,3 +112,11 @@ def test_custom_rules_see_all_tables_so_far(spark):
 def test_totals(spark):
     rows = spark.createDataFrame([("a", "error"), ("a", "warn"), ("b", "error")], "file_name string, severity string")
     assert {r.file_name: (r.errors, r.warnings) for r in statements.severity_totals(rows, "file_name").collect()} == {"a": (1, 1), "b": (1, 0), None: (2, 1)}
+
+
+def test_public_names():
+    import ledgerloom
+
+    assert ledgerloom.Rule is lint.Rule and all(getattr(ledgerloom, n) for n in ledgerloom.__all__)
+    with pytest.raises(AttributeError):
+        ledgerloom.nothing  # noqa: B018
