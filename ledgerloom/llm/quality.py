@@ -181,4 +181,6 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in in_slices(batches, SLICE):
             yield batch.filter(pa.array(scores(batch.column(at).cast(pa.string()), ranking) >= THRESHOLD))
 
-    return documents.mapInArrow(run, documents.schema)
+    # by place, since names may hold dots, which mapInArrow doesn't look up
+    plain = documents.toDF(*(f"c{k}" for k in range(len(documents.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)
