@@ -137,9 +137,12 @@ def _candidates(classes: DataFrame, least: int) -> tuple[DataFrame, list[DataFra
         pairs = direct.union(stars.select("pivot", "node", F.lit(True))).groupBy("pivot", "node").agg(F.max("grouped").alias("grouped"))
         pairs = pairs.join(sig, "node").join(sig.select(F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
         pairs = written(pairs.select("pivot", "node", "grouped", _matches("sig", "pivot_sig").alias("matches")), "matches")
-        found.append(pairs.where((F.col("matches") >= least) | (F.col("grouped") & (F.col("matches") >= near))))
-        used += [stars, pairs]
         rest = stars.join(pairs.select("pivot", "node", "matches"), ["pivot", "node"])
+        # a pivot without a core class in a list has nothing there to stand for
+        cores = rest.where(F.col("matches") >= least).select("token", "pivot").distinct()
+        useful = rest.where(F.col("matches") >= near).join(cores, ["token", "pivot"], "left_semi").select("pivot", "node", F.lit(True).alias("grouped"), "matches")
+        found.append(written(useful.distinct().union(pairs.where(~F.col("grouped") & (F.col("matches") >= least))), "found"))
+        used += [stars, pairs, found[-1]]
         if at:
             rest = rest.groupBy("token", "node", "common").agg(F.max("matches").alias("matches")).join(large.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti")
         rest = rest.where(F.col("matches") < least).select("node", "common", "token")
