@@ -169,8 +169,8 @@ def _within(compared: DataFrame, percent: int) -> DataFrame:
     far = r * (percent / 100 * F.col("n") + F.col("pivot_n"))
     group = compared.where("differences is not null").withColumn("d", F.size("differences"))
     # a row a pivot, first, so that the join with its many rows is one that Spark can split or broadcast
-    pivots = group.groupBy("pivot").agg(F.max(F.when(F.col("core"), F.col("d"))).alias("widest"), F.bool_or(~F.col("linked")).alias("apart"))
-    pivots = written(pivots.where("apart and widest is not null").select("pivot", "widest"), "pivots")
+    pivots = group.groupBy("pivot").agg(F.max(F.when(F.col("core"), F.col("d"))).alias("widest"), F.min(F.when(~F.col("linked"), F.when(F.col("core"), float("-inf")).otherwise(F.col("d") - most))).alias("closest"))
+    pivots = written(pivots.where("closest <= widest + 1e-6").select("pivot", "widest"), "pivots")
     group = written(group.join(pivots, "pivot").where(F.col("core") | (F.col("d") - most <= F.col("widest") + 1e-6)), "groups")
     # differences that a single class has are shared with none; the others are posted, the rarest first
     each = group.select("pivot", "node", F.explode("differences").alias("token"))
