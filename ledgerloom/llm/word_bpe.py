@@ -101,7 +101,8 @@ class WordEncoder:
             found = list(map(self.known.get, words))
             if None in found:
                 self.learn([w for w, x in zip(words, found) if x is None])
-                found = [self.known[w] for w in words]
+                # learning may have dropped the words known before: those keep the ids found
+                found = [self.known[w] if x is None else x for w, x in zip(words, found)]
                 for w in words:
                     if len(w) > KEPT_LENGTH:
                         self.known.pop(w, None)

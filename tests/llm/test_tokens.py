@@ -12,7 +12,7 @@ import sentencepiece
 from pyarrow import fs
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import packing, piece_bpe, token_files
+from ledgerloom.llm import packing, piece_bpe, token_files, word_bpe
 from ledgerloom.llm.common import fresh_folder
 from ledgerloom.llm.word_bpe import encoder
 
@@ -151,6 +151,14 @@ def test_best_pattern_is_the_best():
     assert packing.best_pattern(values, sizes, 12)[0] == pytest.approx(best)
 
 
+def test_words_dropped_while_others_are_learnt(prose, monkeypatch):
+    """A text that holds words known before and new ones, when so many are known that all are dropped."""
+    monkeypatch.setattr(word_bpe, "KEPT_WORDS", 20)
+    coder = word_bpe.WordEncoder(WORDS)
+    for text in [*prose(40, 30), *ODD, "日本語 a1 b2 c3", "a1 b2 日本語 d4"]:
+        assert coder.encode(text) == coder.ids(text)
+
+
 def test_ranges_of_files_that_cannot_be_mapped(tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BUFFERED", 7)
     numbers = np.arange(100, dtype="<u4") * 3
