@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.storage import delete_folder, importable, scratch
 
+#: Bytes of rows that Spark hands to Python at once in `small_batches`; Spark's own limit is 64 MB, held on both sides.
+BATCH_BYTES = 4 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What a Python worker keeps from task to task, by name: how to drop it.
+_kept: dict[str, Callable[[], None]] = {}
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,6 +39,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside gets Arrow batches of about BATCH_BYTES; the session's setting comes back afterwards."""
+    before = spark.conf.get(_ARROW_BYTES, None)
+    spark.conf.set(_ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_ARROW_BYTES) if before is None else spark.conf.set(_ARROW_BYTES, before)
+
+
+def keeps(name: str, drop: Callable[[], None]) -> None:
+    """Tell how to drop what workers keep under this name."""
+    _kept[name] = drop
+
+
+def keep_only(*names: str) -> None:
+    """Drop what this worker, which Spark uses again, keeps for other operators."""
+    for name, drop in _kept.items():
+        if name not in names:
+            drop()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the folders of `written` tables that nothing reads any more."""
     for df in tables:

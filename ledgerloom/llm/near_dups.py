@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import discard, importable, in_slices, written
+from ledgerloom.llm.common import discard, importable, in_slices, keep_only, small_batches, written
 from ledgerloom.llm.shingles import permutations, shingle_set, signature
 from ledgerloom.operators.graph import components
 
@@ -56,6 +56,7 @@ def linked(a: int, b: int, differ: int, percent: int) -> bool:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    keep_only("word hashes")
     factors = permutations(COORDINATES)
     for batch in batches:
         rows = {"doc_id": batch.column("doc_id"), "n": [], "h1": [], "h2": [], "sig": []}
@@ -71,6 +72,7 @@ def _scan(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """The sets of classes, from the texts of documents that have them; a row of another set is left out."""
+    keep_only("word hashes")
     for batch in in_slices(batches, SLICE):
         nodes, sets = [], []
         for node, h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("node", "h1", "h2", "text"))):
@@ -87,6 +89,7 @@ _COMPARED = pa.schema([("pivot", pa.int64()), ("node", pa.int64()), ("pivot_n",
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Differences of classes from their pivots: first what only the class has, then what only the pivot has, each by hash."""
+    keep_only()
     for batch in in_slices(batches, SLICE):
         rows = []
         for pivot, node, ours, theirs, grouped, core in zip(*(batch.column(c).to_pylist() for c in ("pivot", "node", "pivot_set", "node_set", "grouped", "core"))):
@@ -207,7 +210,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     """`documents` (doc_id, text): rows (doc_id, n_shingles, component_id, kept), one for each row."""
     importable(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = written(docs.mapInArrow(lambda b: _scan(b, words), "doc_id long, n long, h1 long, h2 long, sig binary"), "scanned")
+    spark = documents.sparkSession
+    with small_batches(spark):
+        scanned = written(docs.mapInArrow(lambda b: _scan(b, words), "doc_id long, n long, h1 long, h2 long, sig binary"), "scanned")
     sig = F.expr("transform(sequence(0, %d), i -> cast(cast(conv(hex(substring(sig, 4 * i + 1, 4)), 16, 10) as bigint) - 2147483648 as int))" % (COORDINATES - 1))
     with_id = scanned.where("doc_id is not null and n > 0")
     classes = with_id.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("sig").alias("sig"))
@@ -218,9 +223,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     discard(*used)
     involved = pairs.select(F.explode(F.array("pivot", "node")).alias("node")).distinct().join(classes.select("node", "first_doc", "h1", "h2"), "node")
     texts = docs.join(involved, docs["doc_id"] == involved["first_doc"]).select("node", "h1", "h2", "text")
-    sets = written(texts.mapInArrow(lambda b: _sets(b, words), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    with small_batches(spark):
+        sets = written(texts.mapInArrow(lambda b: _sets(b, words), "node long, shingles binary").dropDuplicates(["node"]), "sets")
     two = pairs.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_set")), "pivot").join(sets.select("node", F.col("shingles").alias("node_set")), "node")
-    compared = written(two.select("pivot", "node", "pivot_set", "node_set", "grouped", "core").mapInArrow(lambda b: _compare(b, percent), COMPARED), "compared")
+    with small_batches(spark):
+        compared = written(two.select("pivot", "node", "pivot_set", "node_set", "grouped", "core").mapInArrow(lambda b: _compare(b, percent), COMPARED), "compared")
     discard(sets, pairs)
     links = compared.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(_within(compared, percent))
     # of a doc_id that comes with several sets, all classes belong together

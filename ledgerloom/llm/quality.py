@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import importable, in_slices, written
+from ledgerloom.llm.common import importable, in_slices, keep_only, written
 
 THRESHOLD = 0.3
 SAMPLE, PAIRS = 20_000, 60_000
@@ -178,6 +178,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     at = [c.lower() for c in documents.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in in_slices(batches, SLICE):
             yield batch.filter(pa.array(scores(batch.column(at).cast(pa.string()), ranking) >= THRESHOLD))
 

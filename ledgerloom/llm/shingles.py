@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from ledgerloom.llm.common import keeps
+
 #: Words whose hash a worker keeps.
 KEPT_WORDS = 400_000
 _hashes: dict[bytes, int] = {}
+keeps("word hashes", _hashes.clear)
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -12,7 +12,7 @@ from functools import cache
 
 import numpy as np
 
-from ledgerloom.llm.common import slices
+from ledgerloom.llm.common import keeps, slices
 
 #: A character that no ordinary word holds; it stands between words handed to the library together.
 MARK = "\x01"
@@ -114,3 +114,6 @@ class WordEncoder:
 def encoder(path: str) -> WordEncoder:
     """One per worker process."""
     return WordEncoder(path)
+
+
+keeps("words", encoder.cache_clear)

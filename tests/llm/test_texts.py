@@ -1,12 +1,15 @@
 """Operators 2, 6, 7 and 8 and the pipeline: against brute force, by held-out accuracy, and on odd rows."""
 
 import random
+from contextlib import contextmanager
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from ledgerloom.llm import near_dups, pitman_yor, quality, suffix_dedup
+from ledgerloom.llm import common, near_dups, pitman_yor, quality, shingles, suffix_dedup, word_bpe
 from ledgerloom.llm.shingles import shingle_set, words_of
 
 ODD = [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "ONE"), (1005, "one two"), (None, "null id"), (None, "null id"), (1006, "z" * 5000)]
@@ -63,6 +66,48 @@ def test_near_duplicates_of_repeated_ids_and_of_nothing(docs, prose):
     assert near_dups.near_duplicates(docs([]), 3, 85).count() == 0
 
 
+def test_batches_to_python_are_small(spark, docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes], pa.int64())})
+
+    before = spark.conf.get(key, None)
+    long = docs([(k, "x" * 100_000) for k in range(200)]).coalesce(1).select("doc_id", "text")
+    with common.small_batches(spark):
+        found = common.written(long.mapInArrow(sizes, "bytes long"), "sizes").collect()
+    assert sum(r.bytes for r in found) > 200 * 100_000 and max(r.bytes for r in found) <= common.BATCH_BYTES + 200_000
+    assert spark.conf.get(key, None) == before
+
+
+def test_near_duplicates_get_small_batches(docs, prose, monkeypatch):
+    """All that goes to Python goes in small batches: the three steps are executed inside."""
+    held, seen = [], []
+    written, small = near_dups.written, near_dups.small_batches
+
+    @contextmanager
+    def watched(spark):
+        with small(spark):
+            held.append(1)
+            yield
+            held.pop()
+
+    monkeypatch.setattr(near_dups, "small_batches", watched)
+    monkeypatch.setattr(near_dups, "written", lambda df, what: (held and seen.append(what), written(df, what))[1])
+    near_dups.near_duplicates(docs(near_copies(prose)), 3, 85).count()
+    assert seen == ["scanned", "sets", "compared"]
+
+
+def test_workers_drop_what_other_operators_keep():
+    shingle_set("some words", 3)
+    word_bpe.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    list(near_dups._scan(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words of text"]})]), 3))
+    assert word_bpe.encoder.cache_info().currsize == 0 and shingles._hashes
+    list(near_dups._compare(iter([]), 85))
+    assert not shingles._hashes
+
+
 def test_passages_that_repeat(docs, prose):
     own, tails = prose(12, 60, seed=9), prose(9, 60, seed=99)
     shared, other = prose(2, 55, seed=77)
