@@ -15,7 +15,10 @@
    linked to each other. With e(x) the symmetric
    difference of x and p, |a - b| + |b - a| = |e(a)| + |e(b)| - 2 |e(a) and e(b)|, so they must share many of their
    differences from p, and these are rare even in a large group of near copies. So classes are joined on a prefix of
-   their differences, as long as the bounds ask for, and confirmed on all of them. No group's pairs are all listed.
+   their differences, as long as the bounds ask for, and confirmed on all of them. Only classes that no links found so far
+   connect are joined: first those of step 3; then, where tokens are held by many, those of rounds that take a share of the
+   pairs by hash, growing to all in the last one. Between parts that a share p of the links leaves apart, n / p of them are
+   left for n classes, so no group's links are all listed.
 5. Links give components; the smallest doc_id names one and is the document kept.
 
 A text with fewer words than a shingle has is one shingle; null and empty texts and those without words have none and
@@ -44,6 +47,9 @@ COORDINATES = 40
 FEW, PIVOTS = 6, 4
 #: Sets that Python holds at once, beside the Arrow batch that brings them.
 SLICE = 200
+#: Rounds of `_within` start with a share of the pairs that gives at most CROWD for each posted row; SPREAD times as many in the next.
+CROWD, SPREAD = 4, 16
+
 
 def threshold_matches(percent: int, k: int = COORDINATES) -> int:
     t = percent / 100
@@ -164,15 +170,33 @@ def _bits(tokens: str, part: int) -> Column:
     return F.expr(f"aggregate({tokens}, 0L, (s, x) -> if(x & 3 = {part}, s | shiftleft(1L, cast((x >> 2) & 63 as int)), s))")
 
 
+def _merged(names: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of names, after links (part, b_part) between components; a class that is in no row is its own."""
+    merged = written(components(links.select(F.col("part").alias("a"), F.col("b_part").alias("b")), local=0), "merged")
+    into = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    known = names.join(into, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return written(known.union(merged.join(names, "node", "left_anti").select("node", "component")), "names")
+
+
 def _within(compared: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of one pivot that are not both linked to it, by their differences from it."""
+    """Pairs (a, b) that connect what all links do: those to pivots and, by their differences from a pivot, those between
+    classes of it that are not both linked to it."""
+    names = written(components(compared.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")), local=0), "names")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """With part, the component of the class, and out: whether its pivot is in another one."""
+        homes = names.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
+        rows = rows.join(names, "node", "left").join(homes, "pivot", "left").withColumn("part", F.coalesce("component", "node"))
+        return rows.withColumn("out", F.col("part") != F.coalesce("home", "pivot")).drop("component", "home")
+
     r = (100 - percent) / (100 + percent)
     # d: differences; most: how much a class and any partner may differ; far: how much an unlinked partner differs from the pivot at least
     most = r * F.col("n") * (1 + 100 / percent)
     far = r * (percent / 100 * F.col("n") + F.col("pivot_n"))
     group = compared.where("differences is not null").withColumn("d", F.size("differences"))
+    sized = placed(group.select("pivot", "node", "n", "core", "d"))
     # a row a pivot, first, so that the join with its many rows is one that Spark can split or broadcast
-    pivots = group.groupBy("pivot").agg(F.max(F.when(F.col("core"), F.col("d"))).alias("widest"), F.min(F.when(~F.col("linked"), F.when(F.col("core"), float("-inf")).otherwise(F.col("d") - most))).alias("closest"))
+    pivots = sized.groupBy("pivot").agg(F.max(F.when(F.col("core"), F.col("d"))).alias("widest"), F.min(F.when(F.col("out"), F.when(F.col("core"), float("-inf")).otherwise(F.col("d") - most))).alias("closest"))
     pivots = written(pivots.where("closest <= widest + 1e-6").select("pivot", "widest"), "pivots")
     group = written(group.join(pivots, "pivot").where(F.col("core") | (F.col("d") - most <= F.col("widest") + 1e-6)), "groups")
     # differences that a single class has are shared with none; the others are posted, the rarest first
@@ -186,24 +210,37 @@ def _within(compared: DataFrame, percent: int) -> DataFrame:
     skipped = F.col("d") - F.col("usable")
     base = base.withColumns({"long": F.col("d") - bound(F.lit(0.0)) + 1 - skipped, "short": F.col("d") - bound(far) + 1 - skipped})
     base = written(base.where("long > 0").select("pivot", "node", "n", "d", "usable", *_BITS, "core", "linked", "long", "short", F.slice("shared.token", 1, F.greatest("long", "short").cast("int")).alias("first")), "posted")
-    posted = lambda rows, length: rows.select("pivot", "node", "n", "d", "usable", *_BITS, "core", F.explode(F.slice("first", 1, F.greatest(F.lit(0), F.col(length)).cast("int"))).alias("token"))
+    sides = ("pivot", "node", "n", "d", "usable", *_BITS, "core", "part", "out")
+    posted = lambda rows, length: rows.select(*sides, F.explode(F.slice("first", 1, F.greatest(F.lit(0), F.col(length)).cast("int"))).alias("token"))
     fits = lambda differ: (100 - percent) * (F.col("n") + F.col("b_n")) >= (100 + percent) * differ
 
-    def met(x: DataFrame, y: DataFrame, once: Column) -> DataFrame:
-        y = y.select(*(F.col(c).alias(f"b_{c}") for c in ("pivot", "token", "node", "n", "d", "usable", *_BITS, "core")))
-        hit = (F.col("pivot") == F.col("b_pivot")) & (F.col("token") == F.col("b_token")) & once & (F.col("core") | F.col("b_core"))
+    def met(x: DataFrame, y: DataFrame, once: Column, share: int) -> DataFrame:
+        y = y.select(*(F.col(c).alias(f"b_{c}") for c in (*sides, "token")))
+        hit = (F.col("pivot") == F.col("b_pivot")) & (F.col("token") == F.col("b_token")) & once & (F.col("part") != F.col("b_part")) & (F.col("core") | F.col("b_core"))
+        if share > 1:
+            hit = hit & (F.pmod(F.xxhash64("pivot", "token", "node", "b_node"), F.lit(share)) == 0)
         hit = hit & fits(F.abs(F.col("d") - F.col("b_d"))) & fits(F.col("d") + F.col("b_d") - 2 * F.least("usable", "b_usable"))
         unlike = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"b_{c}"))) for c in _BITS)
         hit = hit & fits(F.col("d") + F.col("b_d") - F.col("usable") - F.col("b_usable") + unlike)
-        return x.join(y, hit).select("pivot", F.col("node").alias("a"), F.col("b_node").alias("b"))
+        return x.join(y, hit).select("pivot", F.col("node").alias("a"), F.col("b_node").alias("b"), "part", "b_part")
 
-    apart, close = base.where("not linked"), base.where("linked")
-    both = met(posted(apart, "short"), posted(apart, "short"), F.col("node") < F.col("b_node")).union(met(posted(apart, "long"), posted(close, "short"), F.lit(True))).distinct()
+    held = posted(placed(base), "long").groupBy("pivot", "token").agg(F.count("*").alias("held"), F.count_if("out").alias("out"))
+    total = held.agg(F.sum("held").alias("rows"), F.sum(F.col("held") * F.col("out")).alias("pairs")).first()
+    share = 1
+    while (total["pairs"] or 0) > CROWD * (total["rows"] or 0) * share:
+        share *= SPREAD
     sets = group.select("pivot", "node", "n", "differences")
-    both = both.join(sets.select("pivot", F.col("node").alias("a"), "n", "differences"), ["pivot", "a"])
-    both = both.join(sets.select("pivot", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("differences").alias("b_differences")), ["pivot", "b"])
-    common = F.size(F.array_intersect("differences", "b_differences"))
-    return both.where(fits(F.size("differences") + F.size("b_differences") - 2 * common)).select("a", "b")
+    while True:
+        rows = placed(base)
+        out, apart, close = rows.where("out"), rows.where("not linked"), rows.where("linked")
+        both = met(posted(out, "short"), posted(apart, "short"), ~F.col("b_out") | (F.col("node") < F.col("b_node")), share).union(met(posted(out, "long"), posted(close, "short"), F.lit(True), share)).distinct()
+        both = both.join(sets.select("pivot", F.col("node").alias("a"), "n", "differences"), ["pivot", "a"])
+        both = both.join(sets.select("pivot", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("differences").alias("b_differences")), ["pivot", "b"])
+        common = F.size(F.array_intersect("differences", "b_differences"))
+        links = written(both.where(fits(F.size("differences") + F.size("b_differences") - 2 * common)).select("a", "b", "part", "b_part").distinct(), "links")
+        if share == 1:
+            return links.select("a", "b").union(names.select("node", "component"))
+        names, share = _merged(names, links), share // SPREAD
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -229,7 +266,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     with small_batches(spark):
         compared = written(two.select("pivot", "node", "pivot_set", "node_set", "grouped", "core").mapInArrow(lambda b: _compare(b, percent), COMPARED), "compared")
     discard(sets, pairs)
-    links = compared.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(_within(compared, percent))
+    links = _within(compared, percent)
     # of a doc_id that comes with several sets, all classes belong together
     several = with_id.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("sets")).where("sets > 1").select("doc_id")
     theirs = with_id.join(several, "doc_id").join(classes.select("h1", "h2", "node"), ["h1", "h2"])

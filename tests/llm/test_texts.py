@@ -382,6 +382,53 @@ def test_lists_without_a_class_near_their_pivot(docs, prose, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(rows, 3, 85)
 
 
+def rows_of_difference_joins(spark, before=0):
+    """Rows that the joins of differences made, by Spark's own metrics, in executions after so many."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, made = store.executionsList(), 0
+    for i in range(before, runs.size()):
+        run = runs.apply(i).executionId()
+        values, each = {}, store.executionMetrics(run).iterator()
+        while each.hasNext():
+            pair = each.next()
+            values[pair._1()] = pair._2()
+        nodes = store.planGraph(run).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+            if "Join" in node.name() and "b_pivot" in node.desc():
+                made += sum(int(values[m.accumulatorId()].replace(",", "")) for m in metrics if m.name() == "number of output rows" and m.accumulatorId() in values)
+    return made, runs.size()
+
+
+def test_links_of_a_large_group_are_not_all_listed(spark, docs, prose):
+    """Copies of one text, most of them linked to others than the pivot: a few rows of the joins for each class, however
+    many links there are, and the components of brute force."""
+    rnd, rows = random.Random(8), []
+    base = prose(1, 90, seed=500)[0].split()
+    for k in range(260):
+        t = list(base)
+        for j in rnd.sample(range(90), rnd.choice((1, 1, 1, 6))):
+            t[j] = f"edit{rnd.randrange(2 if j % 2 else 10**6)}"
+        rows.append((k, " ".join(t)))
+    _, before = rows_of_difference_joins(spark)
+    found = near_dups.near_duplicates(docs(rows), 5, 80).collect()
+    made, _ = rows_of_difference_joins(spark, before)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(rows, 5, 80)
+    assert made <= 10 * len(rows)
+
+
+def test_rounds_of_shares(docs, prose, monkeypatch):
+    """Rounds that take a share of the pairs come to the same components, with few pairs for each row as well."""
+    monkeypatch.setattr(near_dups, "CROWD", 0.01)
+    monkeypatch.setattr(near_dups, "SPREAD", 4)
+    rounds, merged = [], near_dups._merged
+    monkeypatch.setattr(near_dups, "_merged", lambda names, links: (rounds.append(1), merged(names, links))[1])
+    rows = near_copies(prose)
+    found = near_dups.near_duplicates(docs(rows), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(rows, 3, 85)
+    assert rounds
+
+
 CLASHING = "doc_id long, text string, copy string, spans string, of_doc int, `a.b` int, row int, cut string, component_id long, n_chars int, id int, features string, n int"
 
 
