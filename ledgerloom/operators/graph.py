@@ -1,8 +1,8 @@
 """Graphs of dependencies: edges (src, dst), from what depends to what it depends on; nodes (node).
 
 Longest paths, cycles and reachability run inside tasks that hold whole components (see `local_graph`): all edges in one
-task where there are at most LOCAL of them, else whole components dealt out over tasks. The edges of a component that
-alone has more than LOCAL stay in DataFrames, and rounds of joins give the same results.
+task where there are at most LOCAL of them, else whole components dealt out over tasks, which take about PACK edges at a
+time. The edges of a component that alone has more than LOCAL stay in DataFrames, and rounds of joins give the same results.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import local_graph
 from ledgerloom.storage import importable, settled
 
-#: Edges that a task may hold: some ten bytes for each.
+#: Edges of one component that a task may hold: some hundred bytes for each.
 LOCAL = 1_000_000
+#: Edges of smaller components that a task takes together, so that its memory doesn't grow with its share of all edges.
+PACK = 100_000
 
 
 def last_creators(creates: DataFrame) -> DataFrame:
@@ -66,6 +68,27 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kinds.agg(*(F.sum(F.when(F.col("kind") == name, F.col("n"))).alias(name) for _, name in parts))
 
 
+def packs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Rows in the order of their column `component`, whole components together: as many as it takes to have `size` rows."""
+    held, last = [], []  # rows of components that are whole, those of the last one so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("component")
+        begin = pc.index(names, names[-1]).as_py()
+        if last and (begin or names[0] != last[0].column("component")[0]):
+            # the last component ends in this batch, or did before it
+            held, last = held + last, []
+        if begin:
+            held.append(batch.slice(0, begin))
+        if sum(b.num_rows for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+        last.append(batch.slice(begin))
+    if held or last:
+        yield pa.Table.from_batches(held + last)
+
+
 def _in_tasks(edges: DataFrame, run: Callable[[pa.Array, np.ndarray, np.ndarray], Iterator[dict]], schema: str) -> tuple[DataFrame, DataFrame | None]:
     """(rows that `run` gives from whole components, edges of the components that are too large for a task, if any).
 
@@ -83,12 +106,16 @@ def _in_tasks(edges: DataFrame, run: Callable[[pa.Array, np.ndarray, np.ndarray]
             for columns in run(*local_graph.numbered(table.column("src"), table.column("dst"))):
                 yield pa.RecordBatch.from_pydict(columns)
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in packs(batches, PACK):
+            yield from whole(table.to_batches())
+
     if seen.get["n"] <= LOCAL:
         return own.coalesce(1).mapInArrow(whole, schema), None
     found = components(own.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     labelled = settled(own.join(found, own["src"] == found["node"], "left").select("src", "dst", F.coalesce("component", "src").alias("component")))
     sizes = settled(labelled.groupBy("component").count().where(F.col("count") > LOCAL).select("component"))
-    small = labelled.join(sizes, "component", "left_anti").repartition("component").select("src", "dst").mapInArrow(whole, schema)
+    small = labelled.join(sizes, "component", "left_anti").repartition("component").sortWithinPartitions("component").mapInArrow(packed, schema)
     return small, None if sizes.isEmpty() else settled(labelled.join(sizes, "component", "left_semi").select("src", "dst"))
 
 

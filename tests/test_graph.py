@@ -141,3 +141,24 @@ def test_cycle_paths():
 
 def test_counts(spark):
     assert graph.counts(nodes(spark, "abcd"), edges(spark, FAN)).first().asDict() == {"nodes": 4, "edges": 3, "leaves": 2}
+
+
+def test_tasks_take_some_components_at_a_time(spark, monkeypatch):
+    """A task's memory doesn't grow with its share of all edges: what it holds ends with a component, soon after PACK edges."""
+    monkeypatch.setattr(graph, "LOCAL", 20)
+    monkeypatch.setattr(graph, "PACK", 30, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        e = spark.createDataFrame([(100 * c + k + 1, 100 * c + k) for c in range(40) for k in range(1 + c % 15)], "src long, dst long")
+
+        def run(names, src, dst):
+            yield {"n": [len(src)], "components": [",".join(str(x) for x in sorted({v.as_py() // 100 for v in names}))]}
+
+        small, large = graph._in_tasks(e, run, "n long, components string")
+        rows = small.collect()
+        assert large is None and sum(r.n for r in rows) == e.count() and max(r.n for r in rows) <= 30 + 7 + 15
+        assert sorted(int(c) for r in rows for c in r.components.split(",")) == list(range(40))
+        depth = {r.node: r.depth for r in graph.depths(e.select("src").withColumnRenamed("src", "node"), e).collect()}
+        assert depth == {100 * c + k + 1: k + 1 for c in range(40) for k in range(1 + c % 15)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
