@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.ddl import parse
+from ledgerloom.functions.ddl import parse, parsed
 from ledgerloom.operators import statements
 from ledgerloom.plans import lint
 
@@ -120,3 +120,9 @@ def test_public_names():
     assert ledgerloom.Rule is lint.Rule and all(getattr(ledgerloom, n) for n in ledgerloom.__all__)
     with pytest.raises(AttributeError):
         ledgerloom.nothing  # noqa: B018
+
+
+def test_texts_of_one_partition_are_parsed_by_several_tasks(spark):
+    files = spark.range(200).select(F.col("id").cast("string").alias("file_name"), F.lit("SELECT 1").alias("sql")).coalesce(1)
+    rows = parsed(files).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) > 1 and sum(r["count"] for r in rows) == 200 and max(r["count"] for r in rows) <= 60
