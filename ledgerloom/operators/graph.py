@@ -358,15 +358,67 @@ def cycle_paths(nodes: list[str], edges: list[tuple[str, str]]) -> list[list[str
 
 def tree_lines(parents: dict[str, str], names: list[str]) -> list[str]:
     """A forest as text, children in order. Nodes that lead to no root, on or below a cycle, are left out."""
+    return [line for _, line in _lines(parents, names)]
+
+
+def _lines(parents: dict[str, str], names: list[str]) -> Iterator[tuple[str, str]]:
+    """(root, line) of each node, in order."""
     children: dict[str | None, list[str]] = {}
     for n in sorted(names):
         children.setdefault(parents.get(n), []).append(n)
-    out: list[str] = []
-    # (node, what stands before its line, what stands before those of its children)
-    waiting = [(r, "", "") for r in reversed(children.get(None, []))]
+    # (root, node, what stands before its line, what stands before those of its children)
+    waiting = [(r, r, "", "") for r in reversed(children.get(None, []))]
     while waiting:
-        node, lead, below = waiting.pop()
-        out.append(lead + node)
+        root, node, lead, below = waiting.pop()
+        yield root, lead + node
         own = children.get(node, [])
-        waiting += [(c, below + ("└── " if k == len(own) - 1 else "├── "), below + ("    " if k == len(own) - 1 else "│   ")) for k, c in reversed(list(enumerate(own)))]
-    return out
+        waiting += [(root, c, below + ("└── " if k == len(own) - 1 else "├── "), below + ("    " if k == len(own) - 1 else "│   ")) for k, c in reversed(list(enumerate(own)))]
+
+
+def tree(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """(pos, line): what `tree_lines` gives. parents: (child, parent), one of each child at most."""
+
+    def run(names, child, parent):
+        known = names.to_pylist()
+        above = {known[c]: known[p] for c, p in zip(child.tolist(), parent.tolist())}
+        out, held = [], 0
+        for place, (root, line) in enumerate(_lines(above, known)):
+            out.append((root, place, line))
+            held += len(line) + 50
+            if held > 10_000_000:
+                yield dict(zip(("root", "place", "line"), map(list, zip(*out))))
+                out, held = [], 0
+        if out:
+            yield dict(zip(("root", "place", "line"), map(list, zip(*out))))
+
+    ways = settled(parents)
+    lone = nodes.join(ways.select(F.col("child").alias("node")), "node", "left_anti").join(ways.select(F.col("parent").alias("node")), "node", "left_anti")
+    small, large = _in_tasks(ways.select(F.col("child").alias("src"), F.col("parent").alias("dst")), run, "root string, place long, line string")
+    every = small.withColumn("path", F.array("root")).union(lone.select(F.col("node").alias("root"), F.lit(0).cast("long"), F.col("node").alias("line"), F.array("node")))
+    if large is not None:
+        every = every.union(_tree_in_rounds(large))
+    # places in the order of all: those in a part, and the rows of the parts before
+    part, row = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = settled(every.orderBy("root", "path", "place").select(part.alias("part"), row.alias("row"), "line"))
+    before, bases = 0, []
+    for r in placed.groupBy("part").count().orderBy("part").collect():
+        bases.append((r["part"], before))
+        before += r["count"]
+    known = F.broadcast(nodes.sparkSession.createDataFrame(bases, "part int, base long"))
+    return placed.join(known, "part").select((F.col("base") + F.col("row")).alias("pos"), "line")
+
+
+def _tree_in_rounds(ways: DataFrame) -> DataFrame:
+    """(root, place, line, path) level by level; names from the root on, `path`, give the order."""
+    last = ways.groupBy("dst").agg(F.max("src").alias("last"))
+    ways = settled(ways.join(last, "dst").select("src", "dst", (F.col("src") == F.col("last")).alias("ends")))
+    roots_ = ways.select(F.col("dst").alias("node")).distinct().join(ways.select(F.col("src").alias("node")), "node", "left_anti")
+    now = settled(roots_.select("node", F.col("node").alias("root"), F.col("node").alias("line"), F.lit("").alias("below"), F.array("node").alias("path")))
+    every = now
+    while not now.isEmpty():
+        own = ways.join(now.withColumnRenamed("node", "dst"), "dst")
+        lead = F.concat("below", F.when(F.col("ends"), "└── ").otherwise("├── "), "src")
+        below = F.concat("below", F.when(F.col("ends"), "    ").otherwise("│   "))
+        now = settled(own.select(F.col("src").alias("node"), "root", lead.alias("line"), below.alias("below"), F.concat("path", F.array("src")).alias("path")))
+        every = every.union(now)
+    return every.select("root", F.lit(0).cast("long").alias("place"), "line", "path")

@@ -45,9 +45,12 @@ class Dependencies:
     def depths(self) -> DataFrame:
         return graph.depths(self.nodes, self.edges)
 
+    def tree_rows(self) -> DataFrame:
+        """(pos, line): the forest of primary parents as text."""
+        return graph.tree(self.nodes, graph.primary_parents(self.edges, self.depths()))
+
     def tree(self) -> list[str]:
-        parents = {r.child: r.parent for r in graph.primary_parents(self.edges, self.depths()).collect()}
-        return graph.tree_lines(parents, [r.node for r in self.nodes.collect()])
+        return [r.line for r in self.tree_rows().orderBy("pos").collect()]
 
     def trunk(self) -> list[str]:
         depth = self.depths()

@@ -303,7 +303,7 @@ add(
     "script_tree",
     f"""WITH {_ROOTED} SELECT CAST(row_number() OVER (ORDER BY CAST(root AS VARCHAR), k) - 1 AS INTEGER) AS pos,
     CASE WHEN k = root THEN '' ELSE repeat('    ', CAST(k - root - 1 AS INTEGER)) || '└── ' END || k AS line FROM x""",
-    lambda spark, d: spark.createDataFrame(list(enumerate(_tree(spark, d).tree())), "pos int, line string"),
+    lambda spark, d: _tree(spark, d).tree_rows().select(F.col("pos").cast("int").alias("pos"), "line"),
 )
 add(
     "script_trunk",

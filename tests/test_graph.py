@@ -162,3 +162,13 @@ def test_tasks_take_some_components_at_a_time(spark, monkeypatch):
         assert depth == {100 * c + k + 1: k + 1 for c in range(40) for k in range(1 + c % 15)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("local", [graph.LOCAL, 6, 0])
+def test_tree_in_tasks_and_in_rounds(spark, monkeypatch, local):
+    """Two trees, nodes on and below a cycle, and one alone, against the text made on the driver."""
+    monkeypatch.setattr(graph, "LOCAL", local)
+    parents = {"b": "a", "c": "a", "d": "b", "e": "b", "f": "e", "é": "e", "g": "c", "h": "g", "z": "y", "p": "q", "q": "p", "r": "q"}
+    every = sorted({*parents, *parents.values(), "lone"})
+    found = graph.tree(nodes(spark, every), spark.createDataFrame(list(parents.items()), "child string, parent string")).collect()
+    assert [r.line for r in sorted(found)] == graph.tree_lines(parents, every) and [r.pos for r in sorted(found)] == list(range(len(found)))
