@@ -159,9 +159,11 @@ def violations(files: DataFrame, rules: tuple[Rule, ...] | list[Rule] = RULES, s
     schema = "file_name string, ord int, rule string, message string"
     if not active:
         return spark.createDataFrame([], schema + ", severity string, hint string").select("file_name", "ord", "rule", "severity", "message", "hint")
-    # parsed once, whatever the number of rules
+    # parsed once, whatever the number of rules; those of one statement are one pass, and the state that none asks for goes
     own = {r.id for r in RULES}
-    rows = settled(with_context(parsed(files).where("error is null"), sets=any(r.id not in own for r in active)))
+    rows = with_context(parsed(files).where("error is null"), sets=any(r.id not in own for r in active))
+    if any(r.file for r in active):
+        rows = settled(rows)
     single = [F.struct(F.lit(r.id).alias("rule"), r.row().alias("messages")) for r in active if r.row]
     found = spark.createDataFrame([], schema)
     if single:

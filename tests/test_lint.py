@@ -126,3 +126,12 @@ def test_texts_of_one_partition_are_parsed_by_several_tasks(spark):
     files = spark.range(200).select(F.col("id").cast("string").alias("file_name"), F.lit("SELECT 1").alias("sql")).coalesce(1)
     rows = parsed(files).groupBy(F.spark_partition_id()).count().collect()
     assert len(rows) > 1 and sum(r["count"] for r in rows) == 200 and max(r["count"] for r in rows) <= 60
+
+
+def test_a_rule_of_one_statement_needs_no_windows(spark, monkeypatch):
+    """Nothing is written on the way, and no state is found that the rule doesn't ask for."""
+    monkeypatch.setattr(lint, "settled", lambda df: pytest.fail("written"))
+    files = spark.createDataFrame([("a", "DELETE FROM t"), ("b", "SELECT 1")], "file_name string, sql string")
+    found = lint.violations(files, [r for r in lint.RULES if r.id == "ban-delete-without-where"])
+    assert [(r.file_name, r.message) for r in found.collect()] == [("a", "DELETE of all of t")]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
